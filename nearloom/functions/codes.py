@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from nearloom.functions.vectors import norm
 
 WORD_BITS = 64
-# Unrolled sums stay inside one generated method up to this many terms.
-UNROLL_LIMIT = 64
 
 
 def _col(c) -> Column:
@@ -122,35 +120,19 @@ def component_hamming(a, b) -> Column:
     return F.size(F.filter(F.zip_with(_col(a), _col(b), lambda x, y: x != y), lambda d: d))
 
 
-def _signed_terms(rotated, components, bits: int):
-    rotated, components = _col(rotated), _col(components)
-    return [
-        component_sign(components[r]) * rotated[r][component_axis(components[r])] for r in range(bits)
-    ]
-
-
-def asymmetric_distance(rotated, components, bits: int) -> Column:
-    """Minus the sum over rotations of the query's signed value at the stored axis.
-
-    Written as one flat sum of array lookups, so it stays in generated code.
-    """
-    if bits <= UNROLL_LIMIT:
-        return -reduce(lambda a, b: a + b, _signed_terms(rotated, components, bits))
-    pairs = F.zip_with(
+def _signed_values(rotated, components) -> Column:
+    """Per rotation, the query's value at the stored axis with the stored sign."""
+    return F.zip_with(
         _col(rotated), _col(components), lambda x, c: component_sign(c) * F.get(x, component_axis(c))
     )
-    return -F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def weighted_score(rotated, components, magnitudes, bits: int) -> Column:
+def asymmetric_distance(rotated, components) -> Column:
+    """Minus the sum over rotations of the query's signed value at the stored axis."""
+    return -F.aggregate(_signed_values(rotated, components), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def weighted_score(rotated, components, magnitudes) -> Column:
     """Sum of sign * query value * stored magnitude; larger is closer."""
-    magnitudes = _col(magnitudes)
-    if bits <= UNROLL_LIMIT:
-        terms = [t * magnitudes[r] for r, t in enumerate(_signed_terms(rotated, components, bits))]
-        return reduce(lambda a, b: a + b, terms)
-    signed = F.zip_with(
-        _col(rotated), _col(components), lambda x, c: component_sign(c) * F.get(x, component_axis(c))
-    )
-    return F.aggregate(
-        F.zip_with(signed, magnitudes, lambda x, m: x * m), F.lit(0.0), lambda acc, x: acc + x
-    )
+    products = F.zip_with(_signed_values(rotated, components), _col(magnitudes), lambda x, m: x * m)
+    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)

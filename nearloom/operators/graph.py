@@ -90,7 +90,7 @@ def count_detours(ranked: DataFrame, alpha: float = 1.0, hot_rows: int = HOT_ROW
     first = ranked.select("src", F.col("dst").alias("z"), F.col("rank").alias("r1"))
     with_targets = first.join(lists, "src")
     onward = lists.select(F.col("src").alias("z"), F.col("ranks").alias("z_ranks"))
-    met = salted_join(with_targets, onward, ["z"], "src", hot_rows=hot_rows)
+    met = salted_join(with_targets, onward, ["z"], "src", hot_rows=hot_rows, counted=first)
     # Neighbours of src that z also reaches with both ranks low enough.
     shortcut = F.filter(
         F.map_entries("ranks"),

@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above this many rows; at most (rows / HOT_ROWS) keys can be.
+# A key is hot above this many rows.
 HOT_ROWS = 200_000
+# The heaviest hot keys get special treatment. A key beyond these holds less than 1/1000 of all
+# rows and takes the ordinary way of the join.
+HOT_KEYS = 1000
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of pieces to split them into.
 
-    Counts are combined before the shuffle. The result has at most ``rows / hot_rows`` rows,
-    which is what makes it safe to broadcast.
+    Counts are combined before the shuffle. The result has at most ``HOT_KEYS`` rows, which is
+    what makes it safe to broadcast.
     """
     return (
         df.groupBy(*keys)
         .count()
         .filter(F.col("count") > hot_rows)
+        .orderBy(F.col("count").desc(), *keys)
+        .limit(HOT_KEYS)
         .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("pieces"))
     )
 
@@ -30,15 +35,20 @@ def salted_join(
     spread: str,
     how: str = "inner",
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that spreads hot keys of ``left`` by a hash of ``spread``.
 
     The right side's rows of a hot key are repeated once per piece; all other rows are sent once.
-    The result equals the plain join.
+    The result equals the plain join. ``counted`` holds the same keys as ``left`` where that is
+    cheaper to scan than ``left`` itself; ``hot`` brings the hot keys where they are known.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    hot = F.broadcast(hot_keys(left, keys, hot_rows))
+    if hot is None:
+        hot = hot_keys(left if counted is None else counted, keys, hot_rows)
+    hot = F.broadcast(hot)
     pieces = F.coalesce("pieces", F.lit(1))
     salted_left = left.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(spread), pieces).cast("int")
@@ -47,3 +57,18 @@ def salted_join(
         "_salt", F.explode(F.sequence(F.lit(0), pieces - 1))
     ).drop("pieces")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
+
+
+def split_join(
+    left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Inner equi-join that leaves ``right`` where it lies.
+
+    For a ``right`` that is bucketed by the keys and holds a bounded number of rows per key. Hot
+    keys of ``left`` meet a broadcast of their few right rows without any shuffle; all other rows
+    are shuffled to the buckets. The result equals the plain join.
+    """
+    hot = F.broadcast(hot_keys(left, keys, hot_rows).drop("pieces"))
+    hot_right = F.broadcast(right.join(hot, keys, "left_semi"))
+    cold = left.join(hot, keys, "left_anti").join(right, keys)
+    return cold.unionByName(left.join(hot, keys, "left_semi").join(hot_right, keys))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def write_bucketed(df: DataFrame, key: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` hashed by ``key`` and read it back as a bucketed table.
+
+    Every later join on ``key`` meets this side where it lies: only the other side is shuffled.
+    The files go to ``path`` or to the shared checkpoint folder.
+    """
+    spark = df.sparkSession
+    name = f"nearloom_{uuid.uuid4().hex}"
+    path = path or f"{ensure_checkpoint_dir(spark)}/{name}"
+    n = buckets or bucket_count(spark)
+    rows = df.repartition(n, key)
+    rows.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
