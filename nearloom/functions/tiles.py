@@ -22,6 +22,8 @@ from nearloom.functions.rotations import keyed_rotations, pad_rows
 NO_ID = np.iinfo(np.int64).max
 QUERY_CHUNK = 1024
 BASE_CHUNK = 8192
+# Stands for "no limit yet" among single-precision distances.
+FAR = 3e38
 # Rows whose exact score is computed at once.
 REFINE_CHUNK = 1 << 18
 
@@ -231,7 +233,7 @@ def score_chunk(top: RunningTopK, q: dict, b: dict, base_ids: np.ndarray, score,
             if unfilled and width > k:
                 kth = np.partition(d, k - 1, axis=1)[:, k - 1].astype(np.float64)
                 limit = np.minimum(limit, kth + 2.0 * error)
-            finite = np.minimum(limit, np.finfo(np.float32).max).astype(np.float32)
+            finite = np.minimum(limit, FAR).astype(np.float32)
             rows, cols = np.nonzero(d <= np.nextafter(finite, np.float32(np.inf))[:, None])
             ok = np.isfinite(d[rows, cols])
             rows, cols = rows[ok], cols[ok]

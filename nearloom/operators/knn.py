@@ -288,7 +288,8 @@ def sample_pairs(
     if num_pairs is not None:
         numbered = df.sparkSession.range(num_pairs).select(F.col("id").alias("pair_id"))
     else:
-        numbered = df.select((F.col(id_col) * per_vector + F.explode(F.sequence(F.lit(0), F.lit(per_vector - 1)))).alias("pair_id"))
+        draws = df.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(per_vector - 1))).alias("draw"))
+        numbered = draws.select((F.col("id") * per_vector + F.col("draw")).alias("pair_id"))
     drawn = numbered.select(
         "pair_id",
         n.alias("n"),

@@ -137,8 +137,9 @@ def stddev(col) -> Column:
 
 def pearson(x, y) -> Column:
     """Pearson correlation, 0 for no values or where one side does not vary."""
-    flat = (F.coalesce(F.var_pop(x), F.lit(0.0)) <= 1e-20) | (F.coalesce(F.var_pop(y), F.lit(0.0)) <= 1e-20)
-    return F.when(flat, F.lit(0.0)).otherwise(F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    r = F.try_divide(F.covar_pop(x, y), spread)
+    return F.when(F.coalesce(spread * F.count(x) * F.count(x), F.lit(0.0)) <= 1e-10, F.lit(0.0)).otherwise(r)
 
 
 def estimator_study(pairs: DataFrame, group_cols: list[str], truth: str = "truth", score: str = "score") -> DataFrame:

@@ -72,3 +72,19 @@ def write_bucketed(df: DataFrame, key: str, path: str | None = None, buckets: in
     rows = df.repartition(n, key)
     rows.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
     return spark.table(name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that do not share the driver's path.
+
+    Local workers inherit the driver's path; elsewhere the sources go out once as a zip.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_nearloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="nearloom-src-", dir="/tmp"), "nearloom")
+    sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package)))
+    sc._nearloom_shipped = True

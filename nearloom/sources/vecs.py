@@ -6,11 +6,11 @@ in byte ranges of whole records, so one large file is read by many tasks.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -24,6 +24,12 @@ class RecordRange(InputPartition):
         self.path, self.width, self.first, self.count = path, width, first, count
 
 
+def _open(path: str):
+    """Random access to a file of any storage Arrow knows; plain paths are local or mounted."""
+    fs, inner = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(inner)
+
+
 class VecsReader(DataSourceReader):
     def __init__(self, path: str, options: dict, element: str):
         self.path = path
@@ -33,10 +39,10 @@ class VecsReader(DataSourceReader):
 
     def partitions(self):
         """Record ranges; the width of the first record holds for the file, trailing bytes are ignored."""
-        size = os.path.getsize(self.path)
-        if size < 4:
-            return [RecordRange(self.path, 0, 0, 0)]
-        with open(self.path, "rb") as f:
+        with _open(self.path) as f:
+            size = f.size()
+            if size < 4:
+                return [RecordRange(self.path, 0, 0, 0)]
             width = int(np.frombuffer(f.read(4), dtype="<i4")[0])
         if width <= 0:
             raise ValueError(f"{self.path}: the first record has width {width}")
@@ -52,7 +58,7 @@ class VecsReader(DataSourceReader):
         record = 4 * (partition.width + 1)
         value_type = pa.float32() if self.element == "f" else pa.int64()
         names = ["vec_id", "embedding"] if self.element == "f" else ["query_id", "neighbors"]
-        with open(partition.path, "rb") as f:
+        with _open(partition.path) as f:
             f.seek(partition.first * record)
             done = 0
             while done < partition.count:
