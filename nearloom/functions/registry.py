@@ -1,6 +1,7 @@
 """Metric registry: one name, a Column distance for joined rows and a tile score for k-NN joins.
 
-A Column distance reads query columns ``q_*`` and base columns ``b_*``; smaller is closer.
+A Column distance reads ``query_id``, query columns ``q_*`` and base columns ``b_*``; smaller is
+closer.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nearloom.functions import codes as C
-from nearloom.functions import tiles
+from nearloom.functions import pairs, tiles
 from nearloom.functions import vectors as V
 from nearloom.params import CodeParams
 
@@ -33,7 +34,7 @@ def _vector_metric(name: str) -> Metric:
         name,
         ("embedding",),
         ("embedding",),
-        lambda params: V.VECTOR_METRICS[name]("q_embedding", "b_embedding"),
+        lambda params: pairs.vector_distance(name, "q_embedding", "b_embedding"),
         lambda params: tiles.VectorScore(metric=name),
     )
 
@@ -49,9 +50,9 @@ def register(metric: Metric) -> None:
 register(
     Metric(
         "asymmetric",
-        ("rotated",),
+        ("embedding",),
         ("components",),
-        lambda p: C.asymmetric_distance("q_rotated", "b_components"),
+        lambda p: pairs.asymmetric_distance(p, "query_id", "q_embedding", "b_components"),
         lambda p: tiles.VectorScore("neg_dot", p.bits, p.padded_dim, p.seed),
     )
 )

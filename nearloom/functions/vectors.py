@@ -28,10 +28,9 @@ def norm(v) -> Column:
 def normalize(v) -> Column:
     """Divide by the length; a vector no longer than 1e-10 stays unchanged."""
     v = _col(v)
-    length = norm(v)
-    return F.when(length > 1e-10, F.transform(v, lambda x: x.cast("double") / length)).otherwise(
-        F.transform(v, lambda x: x.cast("double"))
-    )
+    # A one-element array binds the length, which would else be computed again per element.
+    divisor = F.transform(F.array(norm(v)), lambda n: F.when(n > 1e-10, n).otherwise(1.0))
+    return F.element_at(F.transform(divisor, lambda d: F.transform(v, lambda x: x.cast("double") / d)), 1)
 
 
 def l2sq(a, b) -> Column:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearloom.functions import keyed
 from nearloom.operators import knn, lsh
-from nearloom.operators.skew import HOT_ROWS, salted_join
+from nearloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 from nearloom.params import CodeParams, GraphParams
-from nearloom.session import cut_lineage
+from nearloom.session import bucket_count, cut_lineage
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
     """Every edge in both directions, unique on (src, dst) with its least distance."""
-    swapped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
-    both = edges.select("src", "dst", "dist").unionByName(swapped)
+    ways = F.array(
+        F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    )
+    both = edges.select(F.explode(ways).alias("e"), "dist").select("e.src", "e.dst", "dist")
     return both.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
 
 
@@ -76,29 +81,50 @@ def remove_edges(edges: DataFrame, deletions: DataFrame) -> DataFrame:
     return edges.join(deletions.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _detoured(r1: pa.Array, alpha: pa.Array, own: pa.Array, own_ranks: pa.Array, onward: pa.Array, onward_ranks: pa.Array) -> pa.Array:
+    """Per row, the own neighbours that the onward list also reaches with both ranks low enough."""
+    rows = len(r1)
+    row_own = np.repeat(np.arange(rows), np.diff(own.offsets.to_numpy()))
+    row_on = np.repeat(np.arange(rows), np.diff(onward.offsets.to_numpy()))
+    ids, place = np.unique(np.concatenate((own.flatten().to_numpy(), onward.flatten().to_numpy())), return_inverse=True)
+    key_own = row_own * len(ids) + place[: len(row_own)]
+    key_on = row_on * len(ids) + place[len(row_own) :]
+    order = np.argsort(key_on)
+    at = np.minimum(np.searchsorted(key_on, key_own, sorter=order), max(len(order) - 1, 0))
+    if len(order):
+        match = order[at]
+        r2 = onward_ranks.flatten().to_numpy()[match]
+        longest = np.maximum(r1.to_numpy()[row_own], r2) * alpha.to_numpy()[row_own]
+        found = (key_on[match] == key_own) & (longest < own_ranks.flatten().to_numpy())
+    else:
+        found = np.zeros(len(row_own), dtype=bool)
+    counts = np.bincount(row_own[found], minlength=rows)
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(own.flatten().to_numpy()[found], pa.int64()))
+
+
 def count_detours(ranked: DataFrame, alpha: float = 1.0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ranked edges ``src, dst, rank, dist`` with ``detours``.
 
     A detour src -> z -> dst counts when both of its ranks, times ``alpha``, stay below the
     direct rank. Only detours that end in a neighbour of src matter, so each edge carries its
-    source's neighbour ranks to z as one map and meets z's list there: no pair leaves the list
-    of a node, and a hub z is spread over tasks.
+    source's neighbour list to z and meets z's list there: no pair leaves the lists of two
+    nodes. The edges are written once, because four steps read them; a hub z is spread over tasks.
     """
-    lists = ranked.groupBy("src").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("dst", "rank")))).alias("ranks")
-    )
+    ranked = cut_lineage(ranked)
+    lists = ranked.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("dst").cast("bigint").alias("dst")))).alias("l"))
+    lists = lists.select("src", F.col("l.dst").alias("ids"), F.col("l.rank").alias("ranks"))
     first = ranked.select("src", F.col("dst").alias("z"), F.col("rank").alias("r1"))
-    with_targets = first.join(lists, "src")
-    onward = lists.select(F.col("src").alias("z"), F.col("ranks").alias("z_ranks"))
-    met = salted_join(with_targets, onward, ["z"], "src", hot_rows=hot_rows, counted=first)
-    # Neighbours of src that z also reaches with both ranks low enough.
-    shortcut = F.filter(
-        F.map_entries("ranks"),
-        lambda e: (F.greatest(F.col("r1"), F.try_element_at("z_ranks", e["key"])) * F.lit(float(alpha)) < e["value"])
-        & F.try_element_at("z_ranks", e["key"]).isNotNull(),
-    )
+    onward = lists.select(F.col("src").alias("z"), F.col("ids").alias("z_ids"), F.col("ranks").alias("z_ranks"))
+    carried = first.join(lists, "src")
+    if ranked.count() <= hot_rows:
+        met = carried.join(onward, "z")
+    else:
+        met = salted_join(carried, onward, ["z"], "src", hot_keys(first, ["z"], hot_rows))
+    shortcut = _detoured("r1", F.lit(float(alpha)), "ids", "ranks", "z_ids", "z_ranks")
     counts = (
-        met.select("src", F.explode(F.transform(shortcut, lambda e: e["key"])).alias("dst"))
+        met.select("src", shortcut.alias("found")).select("src", F.explode("found").alias("dst"))
         .groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("detours"))
     )
@@ -118,13 +144,14 @@ def prune_detours(ranked: DataFrame, degree: int, alpha: float = 1.0, hot_rows:
 
 def interleave_reverse(kept: DataFrame, degree: int) -> DataFrame:
     """Forward edges ``src, dst, dist, rank`` and their reverses alternating by rank, cut to ``degree``."""
-    forward = kept.select("src", "dst", "dist", "rank", F.lit(0).alias("way"))
-    backward = kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist", "rank", F.lit(1).alias("way"))
-    # A node can be the target of very many edges: keep the best of each task before the shuffle.
+    ways = F.array(
+        F.struct("src", "dst", F.lit(0).alias("way")),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("way")),
+    )
+    turned = kept.select(F.explode(ways).alias("e"), "dist", "rank").select("e.*", "dist", "rank")
+    # A node can be the target of very many edges: every task sends its best ones only.
     by_source = Window.partitionBy("src", "way").orderBy("rank", "dst")
-    back = backward.withColumn("slot", F.row_number().over(by_source)).filter(F.col("slot") <= degree)
-    front = forward.withColumn("slot", F.col("rank"))
-    both = front.unionByName(back)
+    both = turned.withColumn("slot", F.row_number().over(by_source)).filter(F.col("slot") <= degree)
     best = both.groupBy("src", "dst").agg(F.min(F.struct("slot", "way", "dist")).alias("b"))
     order = Window.partitionBy("src").orderBy("slot", "way", "dst")
     return (
@@ -177,6 +204,8 @@ def reachable(edges: DataFrame, entries: DataFrame, max_rounds: int = 10000) ->
             break
         seen = seen.unionByName(fresh)
         depth += 1
+        if depth % 8 == 0:
+            seen = cut_lineage(seen.coalesce(bucket_count(edges.sparkSession)))
     return seen
 
 
@@ -208,13 +237,14 @@ def degree_stats(edges: DataFrame, nodes: DataFrame, id_col: str = "vec_id") ->
     )
 
 
-def with_neighbour_codes(edges: DataFrame, codes: DataFrame, code_cols: list[str], id_col: str = "vec_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_neighbour_codes(edges: DataFrame, codes: DataFrame, code_cols: list[str], id_col: str = "vec_id") -> DataFrame:
     """Edges carrying the code of their target, so that a search hop is one join.
 
-    A hub is the target of many edges: the join spreads hot targets.
+    A hub is the target of many edges; codes have one row per key, so adaptive execution can
+    split the edges of a hot partition freely.
     """
     named = codes.select(F.col(id_col).alias("dst"), *[F.col(c).alias(f"dst_{c}") for c in code_cols])
-    return salted_join(edges, named, ["dst"], "src", hot_rows=hot_rows)
+    return edges.join(named, "dst")
 
 
 def audit_knn(neighbours: DataFrame, nodes: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:

@@ -134,4 +134,5 @@ def ivf_knn(
     if model.codebooks is not None:
         b = quantize(b, model)
     score = tiles.VectorScore(metric=metric)
-    return keyed_topk(q.select("cell", "id", "vec"), b.select("cell", "id", "vec"), ["cell"], score, k, dim=dim)
+    return keyed_topk(q.select("cell", "id", "vec"), b.select("cell", "id", "vec"), ["cell"], score, k, dim=dim,
+                      most_rows=(queries.count(), base.count()))

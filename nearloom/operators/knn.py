@@ -14,10 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearloom.functions import keyed
-from nearloom.functions import tiles
+from nearloom.functions import codes as C
+from nearloom.functions import keyed, pairs, tiles
 from nearloom.functions import vectors as V
-from nearloom.operators.skew import HOT_ROWS, salted_join
 from nearloom.params import CodeParams
 
 # Memory for the query part of a cell and its distance tile.
@@ -234,10 +233,11 @@ def hamming_knn(
 
 
 def with_estimate(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Turn the integer distance of :func:`hamming_knn` into ``base + scale * distance``."""
+    """The hits of :func:`hamming_knn` with ``estimate``, ``base + scale * distance`` of their query."""
     scalars = queries.select("query_id", "base", "scale")
-    joined = hits.join(scalars, "query_id")
-    return joined.select("query_id", "vec_id", (F.col("base") + F.col("scale") * F.col("dist")).alias("dist"), "rank")
+    return hits.join(scalars, "query_id").select(
+        "query_id", "vec_id", "rank", "dist", C.estimate("base", "scale", "dist").alias("estimate")
+    )
 
 
 def rerank(
@@ -249,19 +249,20 @@ def rerank(
     query_id: str = "query_id",
     vec_id: str = "vec_id",
     vec_col: str = "embedding",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact distance of every distinct candidate, cut to the k best per query.
 
     Candidates without a stored vector disappear. A vector named by very many queries is a hot
-    key of the gather join and is spread over tasks.
+    key of the gather join; the vector side has one row per key, so adaptive execution can split
+    the candidates of a hot partition freely.
     """
-    distance = V.VECTOR_METRICS[metric]
-    pairs = candidates.select("query_id", "vec_id").distinct()
+    if metric not in V.VECTOR_METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    named = candidates.select("query_id", "vec_id").distinct()
     vectors = base.select(F.col(vec_id).alias("vec_id"), F.col(vec_col).alias("_b"))
     wanted = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("_q"))
-    gathered = salted_join(pairs, vectors, ["vec_id"], "query_id", hot_rows=hot_rows).join(wanted, "query_id")
-    scored = gathered.select("query_id", "vec_id", distance("_q", "_b").alias("dist"))
+    gathered = named.join(vectors, "vec_id").join(wanted, "query_id")
+    scored = gathered.select("query_id", "vec_id", pairs.vector_distance(metric, "_q", "_b").alias("dist"))
     return top_k(scored, k)
 
 

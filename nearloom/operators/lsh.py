@@ -134,13 +134,20 @@ def keyed_topk(
     dim: int = 128,
     cell_query_rows: int | None = None,
     cell_base_rows: int = CELL_BASE_ROWS,
+    most_rows: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Top k per query over the base rows that share a key with it.
 
     Both inputs are ``keys, id, vec``. Per key the sides are counted (combined before the
     shuffle); a key whose counts exceed a cell is cut into a grid of cells by hashes of the ids.
+    ``most_rows`` are known upper bounds of the (query, base) rows under one key: where they
+    fit a cell, nothing needs counting.
     """
     cell_query_rows = cell_query_rows or query_part_rows(dim, k)
+    if most_rows is not None and most_rows[0] <= cell_query_rows and most_rows[1] <= cell_base_rows:
+        no_split = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys).schema.fields)
+        split = base.sparkSession.createDataFrame([], f"{no_split}, qn int, bn int")
+        return _cells_topk(queries, base, keys, split, score, k, exclude_self)
     q_split = (
         queries.groupBy(*keys).count().filter(F.col("count") > cell_query_rows)
         .select(*keys, F.ceil(F.col("count") / cell_query_rows).cast("int").alias("qn"), F.lit(1).alias("bn"))
@@ -151,7 +158,11 @@ def keyed_topk(
     )
     # At most rows / cell_rows keys can exceed a cell, so the table of splits stays small.
     split = q_split.unionByName(b_split).groupBy(*keys).agg(F.max("qn").alias("qn"), F.max("bn").alias("bn"))
-    split = F.broadcast(split)
+    return _cells_topk(queries, base, keys, F.broadcast(split), score, k, exclude_self)
+
+
+def _cells_topk(queries: DataFrame, base: DataFrame, keys: list[str], split: DataFrame, score, k: int, exclude_self: bool) -> DataFrame:
+    """``split`` holds the number of query and base parts, ``qn, bn``, of the keys beyond one cell."""
     qn, bn = F.coalesce("qn", F.lit(1)), F.coalesce("bn", F.lit(1))
 
     def own(n):
@@ -198,6 +209,8 @@ def multiprobe_knn(
     probes = query_probes(queries, params, num_probes, hashes_per_table, query_id, vec_col).select("table", "bucket", "id", "vec")
     buckets = base_buckets(base, params, hashes_per_table, vec_id, vec_col).select("table", "bucket", "id", "vec")
     score = tiles.VectorScore(metric=metric)
+    # A query reaches a bucket once, a base row lies once in a table.
+    cells.setdefault("most_rows", (queries.count(), base.count()))
     return keyed_topk(probes, buckets, ["table", "bucket"], score, k, exclude_self, params.dim, **cells)
 
 

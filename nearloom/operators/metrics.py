@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearloom.operators.skew import HOT_KEYS, HOT_ROWS, salted_join
-from nearloom.session import bucket_count
+from nearloom.operators.skew import HOT_KEYS, HOT_ROWS, hot_keys, salted_join
+from nearloom.session import bucket_count, cut_lineage
 
 # Relative rank error of percentile_approx is 1 / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
@@ -36,16 +36,16 @@ def recall_by_config(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 
     The divisor comes from the ground truth alone, so queries a configuration missed count as 0.
     """
-    wanted = truth.filter(F.col("rank") <= k).select("query_id", "vec_id").distinct()
+    # Written once: three steps read it.
+    wanted = cut_lineage(truth.filter(F.col("rank") <= k).select("query_id", "vec_id").distinct())
     relevant = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
     num_queries = relevant.agg(F.count(F.lit(1)).alias("n")).scalar()
     got = results.filter(F.col("rank") <= k).select("config", "query_id", "vec_id").distinct()
-    share = got.join(wanted, ["query_id", "vec_id"], "left_semi").join(relevant, "query_id")
-    hits = share.groupBy("config").agg(F.sum(F.lit(1.0) / F.col("relevant")).alias("total"))
-    configs = results.select("config").distinct()
-    return configs.join(hits, "config", "left").select(
-        "config", (F.coalesce("total", F.lit(0.0)) / num_queries).alias("recall")
+    marked = got.join(wanted.withColumn("hit", F.lit(1.0)), ["query_id", "vec_id"], "left").join(relevant, "query_id")
+    hits = marked.groupBy("config").agg(
+        F.sum(F.coalesce("hit", F.lit(0.0)) / F.col("relevant")).alias("total")
     )
+    return hits.select("config", (F.col("total") / num_queries).alias("recall"))
 
 
 def order_statistics(df: DataFrame, group_cols: list[str], value_col: str, positions: dict[str, tuple[float, Column]]) -> DataFrame:
@@ -84,7 +84,7 @@ def order_statistics(df: DataFrame, group_cols: list[str], value_col: str, posit
         .orderBy(F.col("pieces").desc(), *group_cols)
         .limit(HOT_KEYS)
     )
-    bounded = salted_join(values, ranges, group_cols, "v", hot=hot)
+    bounded = salted_join(values, ranges, group_cols, "v", hot)
     below = bounded.groupBy(*group_cols).agg(
         *[F.count_if(F.col("v") < F.col(f"{name}.low")).alias(f"below_{name}") for name in positions]
     )
@@ -240,14 +240,15 @@ def duplicates_found(results: DataFrame, groups: DataFrame, k: int) -> DataFrame
     of_hit = groups.select("vec_id", F.col("group_id").alias("hit_group"))
     of_query = groups.select(F.col("vec_id").alias("query_id"), "group_id")
     sizes = groups.groupBy("group_id").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    hot = hot_keys(groups, ["group_id"])
     kept = results.filter((F.col("rank") <= k) & (F.col("query_id") != F.col("vec_id"))).select("query_id", "vec_id")
-    hits = salted_join(kept, of_hit, ["vec_id"], "query_id")
+    hits = kept.join(of_hit, "vec_id")
     counted = (
         hits.join(of_query, "query_id").filter(F.col("hit_group") == F.col("group_id"))
         .groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     )
     return (
-        salted_join(of_query, sizes.filter("copies > 0"), ["group_id"], "query_id").join(counted, "query_id", "left")
+        salted_join(of_query, sizes.filter("copies > 0"), ["group_id"], "query_id", hot).join(counted, "query_id", "left")
         .select("query_id", "copies", F.coalesce("found", F.lit(0)).alias("found"))
     )
 

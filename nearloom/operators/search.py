@@ -49,8 +49,6 @@ def encode_queries(
 ) -> DataFrame:
     """``query_id`` and the columns the metric reads from the query side."""
     rows = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("embedding")).filter("embedding is not null")
-    if metric == "asymmetric":
-        return enc.rotate(rows, params).select("query_id", "rotated")
     if metric == "hamming":
         return enc.encode(rows, params).select("query_id", "primary", "residual")
     if metric == "estimate":
@@ -107,10 +105,8 @@ def beam_search(
     start_array = starts.agg(F.collect_list(F.struct("node", *code_names))).scalar()
     begun = query_side.withColumn("s", start_array).withColumn("s", F.explode("s")).select(*query_side.columns, "s.*")
     first = begun.select("query_id", "node", score.alias("dist"), F.lit(False).alias("expanded"))
-    state = cut_lineage(_keep_best(first, params.ef))
+    state = cut_lineage(_keep_best(first.repartition(buckets, "query_id"), params))
 
-    turn = Window.partitionBy("query_id", "expanded").orderBy("dist", "node")
-    unscored = {"dist": F.lit(None).cast("double"), "expanded": F.lit(False)}
     finished = []
     for _ in range(params.max_iter):
         finished.append(state.filter(~F.col("open")))
@@ -118,29 +114,34 @@ def beam_search(
         open_rows = active.count()
         if open_rows == 0:
             break
-        marked = active.withColumn("picked", ~F.col("expanded") & (F.row_number().over(turn) <= params.width))
-        picks = marked.filter("picked").select("query_id", F.col("node").alias("src"))
+        picks = active.filter("picked").select("query_id", F.col("node").alias("src"))
         # With no more rows than a hot key has, no node can be hot.
         met = picks.join(hops, "src") if open_rows <= hot_rows else split_join(picks, hops, ["src"], hot_rows)
-        found = met.drop("src").withColumns(unscored)
-        held = marked.select("query_id", "node", "dist", (F.col("expanded") | F.col("picked")).alias("expanded"))
-        # One shuffle by query brings held and found nodes together and to the query's own columns.
-        rows = found.unionByName(held, allowMissingColumns=True).repartition(buckets, "query_id")
-        scored = rows.join(query_side, "query_id").select(
-            "query_id", "node", F.coalesce("dist", score).alias("dist"), "expanded"
+        found = met.join(query_side, "query_id").select(
+            "query_id", "node", score.alias("dist"), F.lit(False).alias("expanded")
         )
-        state = cut_lineage(_keep_best(scored, params.ef))
+        held = active.select("query_id", "node", "dist", (F.col("expanded") | F.col("picked")).alias("expanded"))
+        # Everything after this one shuffle of narrow rows stays within a query.
+        rows = found.unionByName(held).repartition(buckets, "query_id")
+        state = cut_lineage(_keep_best(rows, params))
     else:
         finished.append(state)
     final = reduce(DataFrame.unionByName, finished)
     return knn.top_k(final.select("query_id", "node", "dist"), params.ef, "query_id", ("dist", "node"))
 
 
-def _keep_best(rows: DataFrame, ef: int) -> DataFrame:
-    """The ``ef`` best distinct nodes per query and whether the query still has an open one."""
+def _keep_best(rows: DataFrame, params: SearchParams) -> DataFrame:
+    """The ``ef`` best distinct nodes per query, the ``width`` nodes to expand next, and whether any is left."""
     distinct = rows.groupBy("query_id", "node").agg(F.min("dist").alias("dist"), F.max("expanded").alias("expanded"))
-    best = knn.top_k(distinct, ef, "query_id", ("dist", "node")).drop("rank")
-    return best.withColumn("open", F.max(~F.col("expanded")).over(Window.partitionBy("query_id")))
+    best = knn.top_k(distinct, params.ef, "query_id", ("dist", "node")).drop("rank")
+    turn = Window.partitionBy("query_id").orderBy("dist", "node").rowsBetween(Window.unboundedPreceding, 0)
+    waiting = F.sum((~F.col("expanded")).cast("int"))
+    return best.withColumns(
+        {
+            "picked": ~F.col("expanded") & (waiting.over(turn) <= params.width),
+            "open": F.max(~F.col("expanded")).over(Window.partitionBy("query_id")),
+        }
+    )
 
 
 def index_entries(index: VectorIndex, count: int = 1, seed: int | None = None, nodes: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Joins whose left side may hold a large share of its rows under one key."""
+"""Joins whose left side may hold a large share of its rows under one key.
+
+Counting keys reads the left side once more, so these joins are for sides that are written
+tables or whose counts are known. A side that is the output of a k-NN join meets the other with
+a plain sort-merge join, whose hot partitions adaptive execution splits at run time.
+"""
 
 from __future__ import annotations
 
@@ -33,21 +38,16 @@ def salted_join(
     right: DataFrame,
     keys: list[str],
     spread: str,
+    hot: DataFrame,
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    counted: DataFrame | None = None,
-    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join that spreads hot keys of ``left`` by a hash of ``spread``.
+    """Equi-join that spreads the ``hot`` keys of ``left`` by a hash of ``spread``.
 
     The right side's rows of a hot key are repeated once per piece; all other rows are sent once.
-    The result equals the plain join. ``counted`` holds the same keys as ``left`` where that is
-    cheaper to scan than ``left`` itself; ``hot`` brings the hot keys where they are known.
+    The result equals the plain join. ``hot`` is ``keys, pieces`` with at most ``HOT_KEYS`` rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    if hot is None:
-        hot = hot_keys(left if counted is None else counted, keys, hot_rows)
     hot = F.broadcast(hot)
     pieces = F.coalesce("pieces", F.lit(1))
     salted_left = left.join(hot, keys, "left").withColumn(

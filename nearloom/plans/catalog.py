@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearloom.functions import codes as C
+from nearloom.functions import pairs
 from nearloom.functions import vectors as V
 from nearloom.operators import encode, graph, ivf, knn, lsh, metrics, search
 from nearloom.params import CodeParams, GraphParams, SearchParams
@@ -67,7 +68,14 @@ def line_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Five measures of every order line as a vector."""
     measures = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     vec = F.array(*[F.col(c).cast("float") for c in measures]).alias("vec")
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", vec)
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", vec)
+    return spread(lines, "l_orderkey")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table that lies in fewer files than the cluster has cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def hits(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -135,10 +143,10 @@ def validate_vectors(spark, folder):
 def pair_distances(spark, folder):
     """All vector distances on a keyed sample of pairs."""
     e = scaled_embeddings(spark, folder)
-    pairs = knn.sample_pairs(e)
+    sampled = knn.sample_pairs(e)
     left = e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("a"))
     right = e.select(F.col("vec_id").alias("j"), F.col("embedding").alias("b"))
-    joined = pairs.join(left, "i").join(right, "j")
+    joined = sampled.join(left, "i").join(right, "j")
     return joined.select(
         "pair_id", "i", "j",
         F.round(V.dot("a", "b"), 4).alias("dot"),
@@ -239,37 +247,37 @@ def rotation_stats(spark, folder):
 
 
 def coded_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Sampled pairs with every code distance: asymmetric, weighted, component, sign and combined."""
+    """Sampled pairs with their inner product and code distances."""
     e = embeddings(spark, folder)
-    pairs = knn.sample_pairs(e)
-    coded = encode.rotate(encode.encode(encode.components(e, COMPONENT_CODE), RESIDUAL_CODE), COMPONENT_CODE)
+    sampled = knn.sample_pairs(e)
+    coded = encode.encode(encode.components(e, COMPONENT_CODE), RESIDUAL_CODE)
     left = coded.select(
-        F.col("vec_id").alias("i"), F.col("embedding").alias("a"), "rotated",
+        F.col("vec_id").alias("i"), F.col("embedding").alias("a"),
         F.col("components").alias("ca"), F.col("primary").alias("pa"), F.col("residual").alias("ra"),
     )
     right = coded.select(
         F.col("vec_id").alias("j"), F.col("embedding").alias("b"), F.col("components").alias("cb"),
         F.col("magnitudes").alias("mb"), F.col("primary").alias("pb"), F.col("residual").alias("rb"),
     )
-    joined = pairs.join(left, "i").join(right, "j")
-    combined = C.combined_hamming("pa", "pb", "ra", "rb", RESIDUAL_CODE.shift)
-    return joined.select(
-        "pair_id", "i", "j",
-        V.dot("a", "b").alias("truth"),
-        C.asymmetric_distance("rotated", "cb").alias("asymmetric"),
-        C.weighted_score("rotated", "cb", "mb").alias("weighted"),
-        C.component_hamming("ca", "cb").alias("component_hamming"),
-        C.hamming("pa", "pb").alias("hamming"),
-        combined.alias("combined"),
-        C.estimate(F.lit(5.0), F.lit(0.5), combined).alias("estimate"),
+    joined = sampled.join(left, "i").join(right, "j")
+    return joined.withColumns(
+        {
+            "truth": -pairs.vector_distance("neg_dot", "a", "b"),
+            "asymmetric": pairs.asymmetric_distance(COMPONENT_CODE, "i", "a", "cb"),
+            "component_hamming": C.component_hamming("ca", "cb"),
+            "hamming": C.hamming("pa", "pb"),
+            "combined": C.combined_hamming("pa", "pb", "ra", "rb", RESIDUAL_CODE.shift),
+        }
     )
 
 
 @registered
 def code_distances(spark, folder):
-    return coded_pairs(spark, folder).select(
-        "pair_id", "i", "j", F.round("asymmetric", 3).alias("asym_distance"), F.round("weighted", 2).alias("weighted"),
-        "component_hamming", "hamming", "combined", "estimate",
+    rotated = encode.rotate(embeddings(spark, folder), COMPONENT_CODE).select(F.col("vec_id").alias("i"), "rotated")
+    return coded_pairs(spark, folder).join(rotated, "i").select(
+        "pair_id", "i", "j", F.round("asymmetric", 3).alias("asym_distance"),
+        F.round(C.weighted_score("rotated", "cb", "mb"), 2).alias("weighted"),
+        "component_hamming", "hamming", "combined", C.estimate(F.lit(5.0), F.lit(0.5), "combined").alias("estimate"),
     )
 
 
@@ -292,8 +300,8 @@ def estimator_correlation(spark, folder):
 
 
 def calibration_line(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = coded_pairs(spark, folder).select("truth", (-F.col("asymmetric")).alias("score"))
-    return metrics.calibrate(pairs)
+    scored = coded_pairs(spark, folder).select("truth", (-F.col("asymmetric")).alias("score"))
+    return metrics.calibrate(scored)
 
 
 @registered
@@ -359,8 +367,7 @@ def combined_hamming_knn(spark, folder):
     c = coded.select("vec_id", "primary", "residual")
     q = as_queries(coded).select("query_id", "base", "scale")
     found = knn.hamming_knn(as_queries(c), c, RESIDUAL_CODE, K, **sizes(e))
-    scored = knn.with_estimate(found, q).withColumnRenamed("dist", "estimate")
-    return found.join(scored.drop("rank"), ["query_id", "vec_id"]).select(
+    return knn.with_estimate(found, q).select(
         "query_id", "vec_id", "rank", F.col("dist").cast("int").alias("combined"), F.round("estimate", 5).alias("estimate")
     )
 
@@ -472,7 +479,7 @@ def graph_build_lsh(spark, folder):
 @registered
 def edge_membership(spark, folder):
     """Which reversed edges are edges themselves."""
-    edges = neighbours(spark, folder)
+    edges = cut_lineage(neighbours(spark, folder))
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.contains_edges(edges, turned)
 
@@ -480,7 +487,7 @@ def edge_membership(spark, folder):
 @registered
 def edge_removal(spark, folder):
     """The k-NN graph without its mutual edges."""
-    edges = neighbours(spark, folder)
+    edges = cut_lineage(neighbours(spark, folder))
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return edges_out(graph.remove_edges(edges, turned))
 
@@ -488,7 +495,7 @@ def edge_removal(spark, folder):
 @registered
 def hub_neighbours(spark, folder):
     """Edges of the nodes that clearly more than k others point to."""
-    edges = neighbours(spark, folder)
+    edges = cut_lineage(neighbours(spark, folder))
     hubs = edges.groupBy("dst").count().filter(F.col("count") > KNN_K + 4).select(F.col("dst").alias("src"))
     return edges_out(knn.neighbours_of(edges, hubs))
 

@@ -19,6 +19,7 @@ def local_session(cpus: str | int = "*", app: str = "nearloom", memory: str | No
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory or "8g")
     )
     spark = builder.getOrCreate()
