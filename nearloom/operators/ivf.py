@@ -29,6 +29,17 @@ class IvfModel:
     codebooks: np.ndarray | None = None
 
 
+def given_centroids(cells: DataFrame, max_cells: int = MAX_CELLS) -> np.ndarray:
+    """Centroids of a table ``cell, centroid`` with cells 0..n-1; refused beyond ``max_cells`` rows."""
+    rows = cells.select("cell", "centroid").take(max_cells + 1)
+    if len(rows) > max_cells:
+        raise ValueError(f"more than {max_cells} cells")
+    rows = sorted(rows)
+    if [r.cell for r in rows] != list(range(len(rows))):
+        raise ValueError("cells must be numbered from 0")
+    return np.array([r.centroid for r in rows])
+
+
 def _kmeans(vectors: DataFrame, k: int, seed: int, iterations: int) -> np.ndarray:
     rows = vectors.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=iterations).fit(rows)

@@ -56,7 +56,7 @@ def plan_grid(num_queries: int, num_base: int, dim: int, k: int, parallelism: in
     return Grid(a, b)
 
 
-def top_k(df: DataFrame, k: int, by: str = "query_id", order: tuple[str, ...] = ("dist", "vec_id")) -> DataFrame:
+def top_k(df: DataFrame, k: int, by: str = "query_id", order: tuple = ("dist", "vec_id")) -> DataFrame:
     """The k first rows of every group, with their ``rank``."""
     window = Window.partitionBy(by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
@@ -129,7 +129,13 @@ def _held_join(q: DataFrame, b: DataFrame, score, k: int, exclude_self: bool) ->
         writer.write_table(block)
     held = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     partial = b.mapInArrow(tiles.held_topk(score, k, held, exclude_self), tiles.RESULT_SCHEMA)
-    return top_k(partial.drop("rank"), k)
+    return _merge(partial, score, k)
+
+
+def _merge(partial: DataFrame, score, k: int) -> DataFrame:
+    """Top k of the cells' top k."""
+    dist = F.col("dist").desc() if getattr(score, "farthest", False) else F.col("dist")
+    return top_k(partial.drop("rank"), k, "query_id", (dist, "vec_id"))
 
 
 def _grid_join(q: DataFrame, b: DataFrame, score, k: int, exclude_self: bool, grid: Grid) -> DataFrame:
@@ -151,7 +157,7 @@ def _grid_join(q: DataFrame, b: DataFrame, score, k: int, exclude_self: bool, gr
     partial = placed.mapInArrow(tiles.cell_topk(score, k, ["cell"], exclude_self), tiles.RESULT_SCHEMA)
     if grid.base_parts == 1:
         return partial
-    return top_k(partial.drop("rank"), k)
+    return _merge(partial, score, k)
 
 
 def _as_queries(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:

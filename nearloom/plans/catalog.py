@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from nearloom.functions import vectors as V
 from nearloom.operators import encode, graph, ivf, knn, lsh, metrics, search
 from nearloom.params import CodeParams, GraphParams, SearchParams
 from nearloom.session import cut_lineage, ensure_checkpoint_dir
-from nearloom.sources import index_store, results
+from nearloom.sources import datasets, index_store, results
 from nearloom.streaming import ingest
 
 DIM = 64
@@ -419,6 +423,36 @@ def ivf_pq_knn(spark, folder):
     return hits(ivf.ivf_knn(as_queries(e), e, model, K, nprobe=4))
 
 
+def label_model(spark: SparkSession, folder: str) -> ivf.IvfModel:
+    """Cells and product codewords that need no training: means per label, read from the table."""
+    e = table(spark, folder, "embeddings")
+
+    def means(rows: DataFrame, vec_col: str) -> np.ndarray:
+        one = rows.select("label", F.posexplode(vec_col).alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+        lists = one.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("l"))
+        return ivf.given_centroids(lists.select(F.col("label").alias("cell"), F.col("l.m").alias("centroid")))
+
+    cells = means(e, "embedding")
+    assigned = ivf.assign(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), ivf.IvfModel(cells), 1)
+    residuals = assigned.select(F.col("id").alias("vec_id"), "residual").join(e.select("vec_id", "label"), "vec_id")
+    words = means(residuals, "residual")
+    books = np.stack([words[:, s : s + 16] for s in range(0, DIM, 16)])
+    return ivf.IvfModel(cells, books)
+
+
+@registered
+def ivf_label_cells(spark, folder):
+    e = embeddings(spark, folder)
+    model = ivf.IvfModel(label_model(spark, folder).centroids)
+    return hits(ivf.ivf_knn(as_queries(e), e, model, K, nprobe=3))
+
+
+@registered
+def ivf_label_product_codes(spark, folder):
+    e = embeddings(spark, folder)
+    return hits(ivf.ivf_knn(as_queries(e), e, label_model(spark, folder), K, nprobe=3))
+
+
 # ---- graphs ---------------------------------------------------------------------------------
 
 
@@ -476,6 +510,18 @@ def graph_build_lsh(spark, folder):
     return edges_out(graph.build_graph(embeddings(spark, folder), LSH_CODE, GRAPH, "lsh", num_probes=4))
 
 
+@registered
+def edge_list(spark, folder):
+    """A wide k-NN matrix with a missing and a self slot per row, as edges."""
+    lists = neighbours(spark, folder).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst", "dist"))).alias("l"))
+    wide = lists.select(
+        "src",
+        F.concat(F.col("l.dst"), F.array(F.lit(0xFFFFFFFF), "src")).alias("neighbors"),
+        F.concat(F.col("l.dist"), F.array(F.lit(0.0), F.lit(0.0))).alias("distances"),
+    )
+    return edges_out(knn.edge_list(wide))
+
+
 @registered
 def edge_membership(spark, folder):
     """Which reversed edges are edges themselves."""
@@ -573,6 +619,23 @@ def stored_index_search(spark, folder):
     return hits(search.ann_search(as_queries(embeddings(spark, folder)), loaded, RERANKED))
 
 
+@registered
+def ann_search_sign_codes(spark, folder):
+    """Sign codes with scaled Hamming estimates, four hashed entry points, exact re-ranking."""
+    e = embeddings(spark, folder)
+    index = search.build_index(e, SIGN_CODE, GRAPH, "estimate", **sizes(e))
+    params = SearchParams(k=K, ef=32, width=8, num_entry_points=4, rerank=True, rerank_k=32)
+    return hits(search.ann_search(as_queries(e), index, params))
+
+
+@registered
+def ann_search_exact_graph(spark, folder):
+    """The hybrid index: true distances in the graph and in the search."""
+    e = embeddings(spark, folder)
+    index = search.build_index(e, COMPONENT_CODE, GRAPH, "cosine", dim=DIM)
+    return hits(search.ann_search(as_queries(e), index, BEAM))
+
+
 # ---- metrics and audits ---------------------------------------------------------------------
 
 
@@ -741,16 +804,77 @@ def speedup(spark, folder):
 
 @registered
 def merged_results(spark, folder):
-    """Result rows of two systems with different columns, as one table."""
+    """Result files of two systems with different columns, written, read and merged to one table."""
     stats = metrics.latency_stats(table(spark, folder, "events"), ["event_type"], "value")
     full = stats.select(
-        F.lit("ours").alias("system"), F.col("event_type").alias("config"), F.round("qps", 4).alias("qps_1t"),
+        F.lit("ours").alias("system"), F.col("event_type").alias("config"), F.col("n").cast("int").alias("ef_search"),
+        F.round(F.col("p50") / F.col("p99"), 6).alias("recall_10"), F.round("qps", 4).alias("qps_1t"),
         F.round("mean", 6).alias("latency_mean_us"), F.col("p50").alias("latency_p50_us"), F.col("p99").alias("latency_p99_us"),
     )
     short = table(spark, folder, "orders").groupBy(F.col("o_orderstatus").alias("config")).agg(
-        F.round(F.lit(1e6) / F.avg("o_totalprice"), 4).alias("qps"), F.round(F.avg("o_totalprice"), 3).alias("latency_mean_us")
-    ).withColumn("system", F.lit("external"))
-    return results.merge_results([full, short])
+        F.lit("external").alias("system"), F.count(F.lit(1)).cast("int").alias("ef_search"), F.lit(1.0).alias("recall_10"),
+        F.round(F.lit(1e6) / F.avg("o_totalprice"), 4).alias("qps"), F.round(F.avg("o_totalprice"), 3).alias("latency_mean_us"),
+    )
+    out = work_folder(spark, "results")
+    results.write_results(full, "recall_qps", f"{out}/ours")
+    results.write_results(short, "external_recall_qps", f"{out}/external")
+    return results.merge_results(
+        [results.read_results(spark, "recall_qps", f"{out}/ours"), results.read_results(spark, "external_recall_qps", f"{out}/external")]
+    )
+
+
+# ---- vector files ---------------------------------------------------------------------------
+
+
+def export_vecs(df: DataFrame, id_col: str, list_col: str, path: str, element: str) -> None:
+    """Write a table as a folder of record files in id order, one file per task."""
+    pafs.FileSystem.from_uri(path)[0].create_dir(pafs.FileSystem.from_uri(path)[1])
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            values = np.array(batch.column(list_col).to_pylist(), dtype=element)
+            width = np.full((len(values), 1), values.shape[1], dtype="<i4")
+            rows.append(np.concatenate((width, values.view("<i4")), axis=1))
+        if rows:
+            fs, inner = pafs.FileSystem.from_uri(path)
+            with fs.open_output_stream(f"{inner}/part-{TaskContext.get().partitionId():05d}") as f:
+                for block in rows:
+                    f.write(np.ascontiguousarray(block).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], names=["n"])
+
+    ordered = df.select(id_col, list_col).repartitionByRange(4, id_col).sortWithinPartitions(id_col)
+    ordered.mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
+def vecs_dataset(spark: SparkSession, folder: str) -> datasets.VectorDataset:
+    """The embeddings and their true neighbours as a data set of fvecs and ivecs files."""
+    out = work_folder(spark, "vecs")
+    e = embeddings(spark, folder)
+    wide = truth(spark, folder).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))).alias("l"))
+    export_vecs(e, "vec_id", "embedding", f"{out}/set_base.fvecs", "<f4")
+    export_vecs(as_queries(e), "query_id", "embedding", f"{out}/set_query.fvecs", "<f4")
+    export_vecs(wide.select("query_id", F.col("l.vec_id").alias("n")), "query_id", "n", f"{out}/set_groundtruth.ivecs", "<i4")
+    return datasets.load_vector_dataset(spark, out, "set")
+
+
+@registered
+def fvecs_scan(spark, folder):
+    base = vecs_dataset(spark, folder).base
+    return base.select("vec_id", F.size("embedding").alias("dim"), F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"))
+
+
+@registered
+def ivecs_truth(spark, folder):
+    return vecs_dataset(spark, folder).truth
+
+
+@registered
+def limited_base_truth(spark, folder):
+    """The limit option: the first half of the base, with the ground truth of that half."""
+    e = embeddings(spark, folder)
+    full = datasets.VectorDataset(e, as_queries(e), truth(spark, folder), DIM)
+    return datasets.limit_base(full, e.count() // 2, K, "cosine").truth
 
 
 # ---- streams --------------------------------------------------------------------------------

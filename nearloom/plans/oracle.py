@@ -113,20 +113,20 @@ def graph_out(digits: int) -> str:
 CODE_GRAPH = (*CODE_TOP, ranked("p_sc", c.GRAPH.m_links, "found", skip_self=True), *linked("found"))
 
 
-def beams(params=c.BEAM) -> list[str]:
+def beams(params=c.BEAM, scores: str = "p_sc", entries: str = "SELECT min(vec_id) FROM e") -> list[str]:
     """``final(query_id, vec_id, dist, rank)``: beams after the last round."""
     turn = "row_number() OVER (PARTITION BY query_id, expanded ORDER BY dist, node)"
     marked = f"(SELECT it, query_id, node, dist, expanded, NOT expanded AND {turn} <= {params.width} AS picked FROM beam)"
     return [
         f"""beam(it, query_id, node, dist, expanded) AS (
-  SELECT 0, query_id, vec_id, dist, false FROM p_sc WHERE vec_id = (SELECT min(vec_id) FROM e)
+  SELECT 0, query_id, vec_id, dist, false FROM {scores} WHERE vec_id IN ({entries})
   UNION ALL
   SELECT it + 1, query_id, node, dist, expanded FROM (
     SELECT it, query_id, node, min(dist) AS dist, bool_or(expanded) AS expanded FROM (
       SELECT it, query_id, node, dist, expanded OR picked AS expanded FROM {marked} m
       UNION ALL
       SELECT m.it, m.query_id, g.dst, s.dist, false FROM {marked} m JOIN graph g ON g.src = m.node
-        JOIN p_sc s ON s.query_id = m.query_id AND s.vec_id = g.dst WHERE m.picked
+        JOIN {scores} s ON s.query_id = m.query_id AND s.vec_id = g.dst WHERE m.picked
     ) u GROUP BY 1, 2, 3
   ) n WHERE EXISTS (SELECT 1 FROM beam WHERE NOT expanded)
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist, node) <= {params.ef})""",
@@ -135,11 +135,12 @@ def beams(params=c.BEAM) -> list[str]:
     ]
 
 
-RERANKED = (
-    *CODE_GRAPH, *beams(c.RERANKED),
+EXACT_FINAL = (
     f"exact AS (SELECT f.query_id, f.vec_id, {COS} AS dist FROM final f JOIN e a ON a.vec_id = f.query_id JOIN e b ON b.vec_id = f.vec_id)",
     ranked("exact", c.K),
 )
+RERANKED = (*CODE_GRAPH, *beams(c.RERANKED), *EXACT_FINAL)
+FOUR_ENTRIES = "SELECT vec_id FROM e ORDER BY ('0x' || substr(md5(concat_ws(':', 42, vec_id)), 1, 15))::BIGINT, vec_id LIMIT 4"
 
 
 def probes(n: str, count: int) -> str:
@@ -329,6 +330,7 @@ def build() -> dict[str, str]:
     out["graph_build_hamming"] = with_(EMB, hadamard(64), *SIGN, ham.replace("::INTEGER", "::DOUBLE"), ranked("sc", c.GRAPH.m_links, "found", skip_self=True), *linked("found"), select=graph_out(6))
     out["graph_build_hybrid"] = with_(EMB, all_pairs(COS), ranked("sc", c.GRAPH.m_links, "found", skip_self=True), *linked("found"), select=graph_out(6))
     out["graph_build_lsh"] = with_(*LSH, ranked("exact", c.GRAPH.m_links, "found", skip_self=True), *linked("found"), select=graph_out(6))
+    out["edge_list"] = with_(*NEAR, select="SELECT src, dst, round(dist, 6) AS dist FROM edges")
     out["edge_membership"] = with_(*NEAR, select="SELECT a.dst AS src, a.src AS dst FROM edges a JOIN edges b ON b.src = a.dst AND b.dst = a.src")
     out["edge_removal"] = with_(*NEAR, select="SELECT a.src, a.dst, round(a.dist, 6) AS dist FROM edges a LEFT JOIN edges b ON b.src = a.dst AND b.dst = a.src WHERE b.src IS NULL")
     out["hub_neighbours"] = with_(*NEAR, select=f"SELECT src, dst, round(dist, 6) AS dist FROM edges WHERE src IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) > {c.KNN_K + 4})")
@@ -351,6 +353,16 @@ def build() -> dict[str, str]:
     out["beam_search"] = with_(*CODE_GRAPH, *beams(), select=hits("final", 3) + f" WHERE rank <= {c.K}", recursive=True)
     out["ann_search"] = with_(*RERANKED, select=hits(), recursive=True)
     out["stored_index_search"] = out["ann_search"]
+    estimates = "est AS MATERIALIZED (SELECT query_id, sc.vec_id, 0.0::DOUBLE + 2.0 * n.q * (SELECT avg(q) FROM n) / 32.0 * sc.dist AS dist FROM sc JOIN n ON n.vec_id = query_id)"
+    out["ann_search_sign_codes"] = with_(
+        EMB, hadamard(64), *SIGN, ham.replace("::INTEGER", "::DOUBLE"), ranked("sc", c.GRAPH.m_links, "found", skip_self=True), *linked("found"),
+        "n AS (SELECT vec_id, sqrt(list_dot_product(v, v)) AS q FROM e)", estimates,
+        *beams(c.RERANKED, "est", FOUR_ENTRIES), *EXACT_FINAL, select=hits(), recursive=True,
+    )
+    out["ann_search_exact_graph"] = with_(
+        EMB, all_pairs(COS).replace("sc AS (", "sc AS MATERIALIZED ("), ranked("sc", c.GRAPH.m_links, "found", skip_self=True), *linked("found"),
+        *beams(c.BEAM, "sc"), select=hits("final") + f" WHERE rank <= {c.K}", recursive=True,
+    )
     calibrated_ctes = [x for x in (*PAIR_CODES, *CODE_GRAPH[len((EMB, *COMP)):], CAL, *beams())]
     out["calibrated_search"] = with_(*calibrated_ctes, select=f"SELECT query_id, vec_id, rank, round(alpha * (-dist) + beta, 5) AS dist FROM final, cal WHERE rank <= {c.K}", recursive=True)
 
@@ -397,8 +409,34 @@ def build() -> dict[str, str]:
     )
     out["merged_results"] = with_(
         *LATENCY,
-        select="SELECT 'ours' AS system, event_type AS config, round(1e6 / mean, 4) AS qps, round(mean, 6) AS latency_mean_us, p50 AS latency_p50_us, p99 AS latency_p99_us FROM stats "
-        "UNION ALL SELECT 'external', o_orderstatus, round(1e6 / avg(o_totalprice), 4), round(avg(o_totalprice), 3), NULL, NULL FROM orders GROUP BY o_orderstatus",
+        select="SELECT 'ours' AS system, event_type AS config, n::INTEGER AS ef_search, round(p50 / p99, 6) AS recall_10, round(1e6 / mean, 4) AS qps, round(mean, 6) AS latency_mean_us, p50 AS latency_p50_us, p99 AS latency_p99_us FROM stats "
+        "UNION ALL SELECT 'external', o_orderstatus, count(*)::INTEGER, 1.0::DOUBLE, round(1e6 / avg(o_totalprice), 4), round(avg(o_totalprice), 3), NULL, NULL FROM orders GROUP BY o_orderstatus",
+    )
+    out["fvecs_scan"] = "SELECT vec_id, len(embedding)::INTEGER AS dim, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings"
+    out["ivecs_truth"] = with_(EMB, *TRUTH, select="SELECT query_id, rank, vec_id FROM truth")
+    out["limited_base_truth"] = with_(EMB, all_pairs(COS), "half AS (SELECT * FROM sc WHERE vec_id < (SELECT count(*) // 2 FROM e))", ranked("half", c.K), select="SELECT query_id, rank, vec_id FROM top")
+    cell_of = "0.5::DOUBLE * list_dot_product(c.m, c.m) - list_dot_product(e.v, c.m)"
+    cells = (
+        EMB,
+        "lab AS (SELECT vec_id, label, i, x FROM (SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings))",
+        "cells AS (SELECT label AS cell, list(m ORDER BY i) AS m FROM (SELECT label, i, avg(x) AS m FROM lab GROUP BY 1, 2) GROUP BY 1)",
+        f"near AS MATERIALIZED (SELECT e.vec_id, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY {cell_of}, c.cell) AS pos FROM e, cells c)",
+    )
+    inside = "cand AS (SELECT q.vec_id AS query_id, b.vec_id FROM near q JOIN near b ON b.cell = q.cell AND b.pos = 1 WHERE q.pos <= 3)"
+    out["ivf_label_cells"] = with_(
+        *cells, inside, f"exact AS (SELECT k.query_id, k.vec_id, -{DOT} AS dist FROM cand k JOIN e a ON a.vec_id = k.query_id JOIN e b ON b.vec_id = k.vec_id)",
+        ranked("exact", c.K), select=hits(),
+    )
+    out["ivf_label_product_codes"] = with_(
+        *cells, inside,
+        "res AS MATERIALIZED (SELECT e.vec_id, n.cell, c.m, list_transform(list_zip(e.v, c.m), lambda z: (z[1] - z[2])::FLOAT)::DOUBLE[] AS r FROM e JOIN near n ON n.vec_id = e.vec_id AND n.pos = 1 JOIN cells c ON c.cell = n.cell)",
+        "rl AS (SELECT l.label, x.i, x.x FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(r) AS x FROM res) x JOIN embeddings l USING (vec_id))",
+        "words AS (SELECT label AS w, s, list(m ORDER BY i) AS m FROM (SELECT label, i, i // 16 AS s, avg(x) AS m FROM rl GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+        "codes AS (SELECT r.vec_id, w.s, w.w, w.m, row_number() OVER (PARTITION BY r.vec_id, w.s ORDER BY 0.5::DOUBLE * list_dot_product(w.m, w.m) - list_dot_product(r.r[w.s * 16 + 1 : w.s * 16 + 16], w.m), w.w) AS pos FROM res r, words w)",
+        "dec AS (SELECT vec_id, flatten(list(m ORDER BY s)) AS d FROM codes WHERE pos = 1 GROUP BY 1)",
+        "pq AS MATERIALIZED (SELECT d.vec_id, list_transform(list_zip(r.m, d.d), lambda z: (z[1] + z[2])::FLOAT)::DOUBLE[] AS v FROM dec d JOIN res r USING (vec_id))",
+        f"exact AS (SELECT k.query_id, k.vec_id, -{DOT} AS dist FROM cand k JOIN e a ON a.vec_id = k.query_id JOIN pq b ON b.vec_id = k.vec_id)",
+        ranked("exact", c.K), select=hits(),
     )
     out["stream_encode"] = with_(EMB, *COMP, select="SELECT vec_id, r::INTEGER AS rotation, comp::INTEGER AS component FROM p_cp")
     out["stream_search"] = out["lsh_multiprobe_join"]

@@ -1,7 +1,8 @@
 """Batch sources ``fvecs`` and ``ivecs``: files of ``[int32 width][width x 4-byte values]`` records.
 
 Register with ``register(spark)``, then ``spark.read.format("fvecs").load(path)``. A file is split
-in byte ranges of whole records, so one large file is read by many tasks.
+in byte ranges of whole records, so one large file is read by many tasks. A folder is read as the
+concatenation of its files in name order; ids are record numbers over all of them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ BATCH_ROWS = 8192
 
 
 class RecordRange(InputPartition):
-    def __init__(self, path: str, width: int, first: int, count: int):
-        self.path, self.width, self.first, self.count = path, width, first, count
+    """Records [first, first + count) of a file whose first record has the id ``offset``."""
+
+    def __init__(self, path: str, width: int, first: int, count: int, offset: int):
+        self.path, self.width, self.first, self.count, self.offset = path, width, first, count, offset
 
 
 def _open(path: str):
@@ -30,6 +33,14 @@ def _open(path: str):
     return fs.open_input_file(inner)
 
 
+def _files(path: str) -> list[str]:
+    fs, inner = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(inner).type != pafs.FileType.Directory:
+        return [path]
+    names = [f.base_name for f in fs.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.File]
+    return [f"{path.rstrip('/')}/{n}" for n in sorted(names) if not n.startswith(("_", "."))]
+
+
 class VecsReader(DataSourceReader):
     def __init__(self, path: str, options: dict, element: str):
         self.path = path
@@ -38,19 +49,22 @@ class VecsReader(DataSourceReader):
         self.element = element
 
     def partitions(self):
-        """Record ranges; the width of the first record holds for the file, trailing bytes are ignored."""
-        with _open(self.path) as f:
-            size = f.size()
-            if size < 4:
-                return [RecordRange(self.path, 0, 0, 0)]
-            width = int(np.frombuffer(f.read(4), dtype="<i4")[0])
-        if width <= 0:
-            raise ValueError(f"{self.path}: the first record has width {width}")
-        record = 4 * (width + 1)
-        total = size // record
-        step = max(1, self.split_bytes // record)
-        ranges = [RecordRange(self.path, width, s, min(step, total - s)) for s in range(0, total, step)]
-        return ranges or [RecordRange(self.path, 0, 0, 0)]
+        """Record ranges; the width of the first record holds for its file, trailing bytes are ignored."""
+        ranges, offset = [], 0
+        for path in _files(self.path):
+            with _open(path) as f:
+                size = f.size()
+                if size < 4:
+                    continue
+                width = int(np.frombuffer(f.read(4), dtype="<i4")[0])
+            if width <= 0:
+                raise ValueError(f"{path}: the first record has width {width}")
+            record = 4 * (width + 1)
+            total = size // record
+            step = max(1, self.split_bytes // record)
+            ranges += [RecordRange(path, width, s, min(step, total - s), offset) for s in range(0, total, step)]
+            offset += total
+        return ranges or [RecordRange(self.path, 0, 0, 0, 0)]
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
         if partition.count == 0:
@@ -69,7 +83,7 @@ class VecsReader(DataSourceReader):
                 body = np.ascontiguousarray(raw[:, 1:])
                 flat = body.view("<f4").reshape(-1) if self.element == "f" else body.reshape(-1).astype(np.int64)
                 offsets = np.arange(0, (rows + 1) * partition.width, partition.width, dtype=np.int32)
-                ids = np.arange(partition.first + done, partition.first + done + rows, dtype=np.int64)
+                ids = partition.offset + partition.first + done + np.arange(rows, dtype=np.int64)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=value_type))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), values], names=names)
                 done += rows
