@@ -43,6 +43,7 @@ class VectorScore:
     code_seed: int | None = None
     farthest: bool = False
     integral = False
+    code_type = "int"
 
     def query(self, batch: pa.RecordBatch) -> dict:
         return self._pack(list_matrix(batch.column("vec")))
@@ -101,6 +102,7 @@ class HammingScore:
     residual_bits: int = 0
     shift: int = 0
     integral = True
+    code_type = "bigint"
 
     def query(self, batch: pa.RecordBatch) -> dict:
         signs = self._signs(batch)

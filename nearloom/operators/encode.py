@@ -26,33 +26,35 @@ from nearloom.params import CodeParams, next_power_of_two
 ROW_CHUNK = 2048
 
 
-def _with_arrays(df: DataFrame, vec_col: str, new: list[tuple[str, str]], compute) -> DataFrame:
+def _with_arrays(df: DataFrame, vec_col: str, new: list[tuple[str, str]], compute, keep: list[str] | None = None) -> DataFrame:
     """Append array columns computed from the vector column, batch by batch.
 
-    Rows without a vector are dropped; all other columns pass through untouched.
+    Rows without a vector are dropped; the columns ``keep``, by default all, pass through
+    untouched. What nobody reads should not be kept: it would travel back from the workers.
     """
-    kept = df.filter(F.col(vec_col).isNotNull())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    keep = df.columns if keep is None else keep
+    kept = df.filter(F.col(vec_col).isNotNull()).select(*keep, *([] if vec_col in keep else [vec_col]))
+    schema = ", ".join(f"`{name}` {kept.schema[name].dataType.simpleString()}" for name in keep)
     schema += "".join(f", `{name}` {kind}" for name, kind in new)
-    names = kept.columns + [name for name, _ in new]
+    names = keep + [name for name, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, ROW_CHUNK):
                 part = batch.slice(s, ROW_CHUNK)
                 arrays = compute(list_matrix(part.column(vec_col)))
-                yield pa.RecordBatch.from_arrays(part.columns + arrays, names=names)
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + arrays, names=names)
 
     return kept.mapInArrow(run, schema)
 
 
-def fht(df: DataFrame, vec_col: str = "embedding", out: str = "transformed") -> DataFrame:
+def fht(df: DataFrame, vec_col: str = "embedding", out: str = "transformed", keep: list[str] | None = None) -> DataFrame:
     """Unnormalized Walsh-Hadamard transform of the zero-padded vector."""
 
     def compute(x: np.ndarray):
         return [matrix_list(walsh_hadamard(pad_rows(x, next_power_of_two(x.shape[1]))), pa.float64())]
 
-    return _with_arrays(df, vec_col, [(out, "array<double>")], compute)
+    return _with_arrays(df, vec_col, [(out, "array<double>")], compute, keep)
 
 
 def _rotations(params: CodeParams, residual: bool, weights: np.ndarray | None):
@@ -84,7 +86,12 @@ def learned_weights(overrides: DataFrame, params: CodeParams) -> np.ndarray:
 
 
 def rotate(
-    df: DataFrame, params: CodeParams, vec_col: str = "embedding", out: str = "rotated", weights: np.ndarray | None = None
+    df: DataFrame,
+    params: CodeParams,
+    vec_col: str = "embedding",
+    out: str = "rotated",
+    weights: np.ndarray | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """All rotated copies of the vector, ``array<array<double>>`` of bits x padded_dim."""
     factory, padded, bits = _rotations(params, False, weights), params.padded_dim, params.bits
@@ -97,7 +104,7 @@ def rotate(
         offsets = np.arange(0, (len(x) + 1) * bits, bits, dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), inner)]
 
-    return _with_arrays(df, vec_col, [(out, "array<array<double>>")], compute)
+    return _with_arrays(df, vec_col, [(out, "array<array<double>>")], compute, keep)
 
 
 def components(
@@ -107,6 +114,7 @@ def components(
     residual: bool = False,
     weights: np.ndarray | None = None,
     names: tuple[str, str] = ("components", "magnitudes"),
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Cross-polytope component and magnitude of every rotation."""
     factory, padded = _rotations(params, residual, weights), params.padded_dim
@@ -115,11 +123,15 @@ def components(
         codes, mags = factory().components(pad_rows(x, padded))
         return [matrix_list(codes, pa.int32()), matrix_list(mags, pa.float64())]
 
-    return _with_arrays(df, vec_col, [(names[0], "array<int>"), (names[1], "array<double>")], compute)
+    return _with_arrays(df, vec_col, [(names[0], "array<int>"), (names[1], "array<double>")], compute, keep)
 
 
 def encode(
-    df: DataFrame, params: CodeParams, vec_col: str = "embedding", weights: np.ndarray | None = None
+    df: DataFrame,
+    params: CodeParams,
+    vec_col: str = "embedding",
+    weights: np.ndarray | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Sign code of the table: ``primary`` and ``residual`` words, from one pass over the vectors."""
     primary = _rotations(params, False, weights)
@@ -136,7 +148,7 @@ def encode(
     new = [("_primary", "array<int>")]
     if params.residual_bits:
         new.append(("_residual", "array<int>"))
-    coded = _with_arrays(df, vec_col, new, compute)
+    coded = _with_arrays(df, vec_col, new, compute, keep)
     return coded.withColumns(
         {
             "primary": C.sign_words("_primary", params.bits),

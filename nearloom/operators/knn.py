@@ -72,18 +72,25 @@ def _broadcast_limit(df: DataFrame) -> int:
     return int(text)
 
 
-def _sides(queries: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sides(queries: DataFrame, base: DataFrame, score) -> tuple[DataFrame, DataFrame]:
     """Both inputs as ``id, vec, code`` with null for the absent payload."""
-    empty_vec, empty_code = F.lit(None).cast("array<float>"), F.lit(None).cast("array<bigint>")
+    code_type = f"array<{score.code_type}>"
+    empty_vec, empty_code = F.lit(None).cast("array<float>"), F.lit(None).cast(code_type)
 
     def shape(df: DataFrame, id_col: str) -> DataFrame:
         vec = F.col("vec").cast("array<float>") if "vec" in df.columns else empty_vec
-        code = F.col("code").cast("array<bigint>") if "code" in df.columns else empty_code
+        code = F.col("code").cast(code_type) if "code" in df.columns else empty_code
         return df.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec"), code.alias("code"))
 
     return shape(queries, "query_id"), shape(base, "vec_id")
 
 
+def _width(df: DataFrame) -> int:
+    """Length of the first row's payload; all rows of a table share it."""
+    row = df.select(F.size("vec" if "vec" in df.columns else "code").alias("n")).first()
+    return max(1, row.n) if row is not None else 1
+
+
 def topk_join(
     queries: DataFrame,
     base: DataFrame,
@@ -92,7 +99,7 @@ def topk_join(
     exclude_self: bool = False,
     num_queries: int | None = None,
     num_base: int | None = None,
-    dim: int = 128,
+    dim: int | None = None,
     broadcast_bytes: int | None = None,
     grid: Grid | None = None,
 ) -> DataFrame:
@@ -104,7 +111,8 @@ def topk_join(
     """
     if k < 1:
         raise ValueError("k must be > 0")
-    q, b = _sides(queries, base)
+    q, b = sides(queries, base, score)
+    dim = dim or _width(queries)
     if num_queries is None:
         num_queries = queries.count()
     limit = _broadcast_limit(queries) if broadcast_bytes is None else broadcast_bytes

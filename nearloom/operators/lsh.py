@@ -20,7 +20,7 @@ from nearloom.functions import vectors as V
 from nearloom.functions.arrow import list_matrix, matrix_list
 from nearloom.functions.rotations import TIE_GAP, keyed_rotations, pad_rows
 from nearloom.operators.encode import ROW_CHUNK
-from nearloom.operators.knn import query_part_rows, top_k
+from nearloom.operators.knn import query_part_rows, rerank, top_k
 from nearloom.params import CodeParams
 
 # Base rows of a bucket beyond this go to further cells.
@@ -38,21 +38,33 @@ def _check(params: CodeParams, hashes: int) -> None:
         raise ValueError("hashes_per_table is too large for a 64-bit bucket number")
 
 
-def _map_lists(df: DataFrame, id_col: str, vec_col: str, compute, schema: str, names: list[str]) -> DataFrame:
-    kept = df.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+def _map_lists(df: DataFrame, id_col: str, vec_col: str, compute, new: list[tuple[str, str]], keep_vec: bool = True) -> DataFrame:
+    """``id``, ``vec`` if kept, and list columns computed from the vectors of a batch."""
+    kept = df.filter(F.col(vec_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")
+    )
+    carried = ["id", "vec"] if keep_vec else ["id"]
+    schema = ", ".join(["id bigint", *(["vec array<float>"] if keep_vec else []), *[f"{n} {t}" for n, t in new]])
+    names = carried + [n for n, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, ROW_CHUNK):
                 part = batch.slice(s, ROW_CHUNK)
                 arrays = compute(list_matrix(part.column("vec")))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), *arrays], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in carried] + arrays, names=names)
 
     return kept.mapInArrow(run, schema)
 
 
-def base_buckets(df: DataFrame, params: CodeParams, hashes: int = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """One row ``id, vec, table, bucket`` per vector and table."""
+def base_buckets(
+    df: DataFrame, params: CodeParams, hashes: int = 1, id_col: str = "vec_id", vec_col: str = "embedding", payload: str = "vec"
+) -> DataFrame:
+    """One row ``id, table, bucket`` and payload per vector and table.
+
+    The payload is the vector (``vec``), its component code (``code``) or nothing (``none``):
+    it is repeated per table, so a code keeps the join of a large base narrow.
+    """
     _check(params, hashes)
     width, tables = _bucket_width(params), params.bits // hashes
 
@@ -62,10 +74,13 @@ def base_buckets(df: DataFrame, params: CodeParams, hashes: int = 1, id_col: str
         bucket = np.zeros(parts.shape[:2], dtype=np.int64)
         for h in range(hashes):
             bucket = bucket * width + parts[:, :, h]
-        return [matrix_list(bucket, pa.int64())]
+        arrays = [matrix_list(bucket, pa.int64())]
+        return [*arrays, matrix_list(codes, pa.int32())] if payload == "code" else arrays
 
-    listed = _map_lists(df, id_col, vec_col, compute, "id bigint, vec array<float>, buckets array<bigint>", ["id", "vec", "buckets"])
-    return listed.select("id", "vec", F.posexplode("buckets").alias("table", "bucket"))
+    new = [("buckets", "array<bigint>")] + ([("code", "array<int>")] if payload == "code" else [])
+    listed = _map_lists(df, id_col, vec_col, compute, new, keep_vec=payload == "vec")
+    carried = [payload] if payload != "none" else []
+    return listed.select("id", *carried, F.posexplode("buckets").alias("table", "bucket"))
 
 
 def _ranked_axes(y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +133,8 @@ def query_probes(
             matrix_list(np.concatenate(costs, axis=1), pa.float64()),
         ]
 
-    schema = "id bigint, vec array<float>, table array<int>, probe array<int>, bucket array<bigint>, cost array<double>"
-    listed = _map_lists(df, id_col, vec_col, compute, schema, ["id", "vec", "table", "probe", "bucket", "cost"])
+    new = [("table", "array<int>"), ("probe", "array<int>"), ("bucket", "array<bigint>"), ("cost", "array<double>")]
+    listed = _map_lists(df, id_col, vec_col, compute, new)
     zipped = F.explode(F.arrays_zip("table", "probe", "bucket", "cost")).alias("p")
     return listed.select("id", "vec", zipped).select("id", "vec", "p.table", "p.probe", "p.bucket", "p.cost")
 
@@ -138,7 +153,7 @@ def keyed_topk(
 ) -> DataFrame:
     """Top k per query over the base rows that share a key with it.
 
-    Both inputs are ``keys, id, vec``. Per key the sides are counted (combined before the
+    Both inputs are ``keys, id`` with ``vec`` or ``code``. Per key the sides are counted (combined before the
     shuffle); a key whose counts exceed a cell is cut into a grid of cells by hashes of the ids.
     ``most_rows`` are known upper bounds of the (query, base) rows under one key: where they
     fit a cell, nothing needs counting.
@@ -171,12 +186,16 @@ def _cells_topk(queries: DataFrame, base: DataFrame, keys: list[str], split: Dat
     def every(n):
         return F.explode(F.sequence(F.lit(0), n - 1))
 
-    empty_code = F.lit(None).cast("array<bigint>").alias("code")
+    absent = {"vec": F.lit(None).cast("array<float>"), "code": F.lit(None).cast(f"array<{score.code_type}>")}
+
+    def payload(df: DataFrame):
+        return [F.col(n).alias(n) if n in df.columns else absent[n].alias(n) for n in ("vec", "code")]
+
     q_rows = queries.join(split, keys, "left").select(
-        *keys, own(qn).alias("a"), every(bn).alias("b"), F.lit(0).alias("side"), "id", "vec", empty_code
+        *keys, own(qn).alias("a"), every(bn).alias("b"), F.lit(0).alias("side"), "id", *payload(queries)
     )
     b_rows = base.join(split, keys, "left").select(
-        *keys, every(qn).alias("a"), own(bn).alias("b"), F.lit(1).alias("side"), "id", "vec", empty_code
+        *keys, every(qn).alias("a"), own(bn).alias("b"), F.lit(1).alias("side"), "id", *payload(base)
     )
     cell = [*keys, "a", "b"]
     placed = q_rows.unionByName(b_rows).repartition(*cell).sortWithinPartitions(*cell, "side")
@@ -197,23 +216,31 @@ def multiprobe_knn(
     vec_id: str = "vec_id",
     vec_col: str = "embedding",
     exclude_self: bool = False,
+    rerank_k: int | None = None,
     **cells,
 ) -> DataFrame:
     """Approximate k-NN join: exact distances over the rows of the probed buckets.
 
     The work grows with bucket sizes instead of with queries x base. More hashes per table make
-    smaller buckets; more probes find more of the true neighbours.
+    smaller buckets; more probes find more of the true neighbours. With ``rerank_k`` the base
+    rows of a bucket carry their code only: the best ``rerank_k`` by asymmetric distance fetch
+    their vectors for the exact distance.
     """
     if metric not in V.VECTOR_METRICS:
         raise ValueError(f"unknown metric {metric}")
     probes = query_probes(queries, params, num_probes, hashes_per_table, query_id, vec_col).select("table", "bucket", "id", "vec")
-    buckets = base_buckets(base, params, hashes_per_table, vec_id, vec_col).select("table", "bucket", "id", "vec")
-    score = tiles.VectorScore(metric=metric)
     # A query reaches a bucket once, a base row lies once in a table.
     cells.setdefault("most_rows", (queries.count(), base.count()))
-    return keyed_topk(probes, buckets, ["table", "bucket"], score, k, exclude_self, params.dim, **cells)
+    keys = ["table", "bucket"]
+    if rerank_k is None:
+        buckets = base_buckets(base, params, hashes_per_table, vec_id, vec_col).select(*keys, "id", "vec")
+        return keyed_topk(probes, buckets, keys, tiles.VectorScore(metric=metric), k, exclude_self, params.dim, **cells)
+    buckets = base_buckets(base, params, hashes_per_table, vec_id, vec_col, "code").select(*keys, "id", "code")
+    score = tiles.VectorScore("neg_dot", params.bits, params.padded_dim, params.seed)
+    best = keyed_topk(probes, buckets, keys, score, max(k, rerank_k), exclude_self, params.dim, **cells)
+    return rerank(best, queries, base, k, metric, query_id, vec_id, vec_col)
 
 
 def bucket_sizes(base: DataFrame, params: CodeParams, hashes_per_table: int = 1, vec_id: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Rows per occupied bucket, ``table, bucket, num_rows``: shows hot buckets before a join."""
-    return base_buckets(base, params, hashes_per_table, vec_id, vec_col).groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("num_rows"))
+    return base_buckets(base, params, hashes_per_table, vec_id, vec_col, "none").groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("num_rows"))

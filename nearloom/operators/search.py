@@ -37,9 +37,9 @@ def encode_base(df: DataFrame, params: CodeParams, metric: str, id_col: str = "v
     """``vec_id`` and the code columns the metric reads from the base side."""
     rows = df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding")).filter("embedding is not null")
     if metric == "asymmetric":
-        return enc.components(rows, params).select("vec_id", "components")
+        return enc.components(rows, params, keep=["vec_id"]).select("vec_id", "components")
     if metric in ("hamming", "estimate"):
-        return enc.encode(rows, params).select("vec_id", "primary", "residual")
+        return enc.encode(rows, params, keep=["vec_id"])
     return rows
 
 
@@ -50,7 +50,7 @@ def encode_queries(
     """``query_id`` and the columns the metric reads from the query side."""
     rows = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("embedding")).filter("embedding is not null")
     if metric == "hamming":
-        return enc.encode(rows, params).select("query_id", "primary", "residual")
+        return enc.encode(rows, params, keep=["query_id"])
     if metric == "estimate":
         return enc.encode_query(rows, params, avg_norm).select("query_id", "primary", "residual", "base", "scale")
     return rows

@@ -91,7 +91,7 @@ def edges_out(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def component_codes(e: DataFrame, params: CodeParams = COMPONENT_CODE) -> DataFrame:
-    return encode.components(e, params).select("vec_id", "components")
+    return encode.components(e, params, keep=["vec_id"]).select("vec_id", "components")
 
 
 def sizes(e: DataFrame) -> dict:
@@ -165,13 +165,13 @@ def pair_distances(spark, folder):
 
 @registered
 def fht_transform(spark, folder):
-    out = encode.fht(line_vectors(spark, folder), "vec", "t")
+    out = encode.fht(line_vectors(spark, folder), "vec", "t", ["l_orderkey", "l_partkey", "l_linenumber"])
     return out.select("l_orderkey", "l_partkey", "l_linenumber", *[F.round(F.col("t")[i], 2).alias(f"t{i}") for i in range(8)])
 
 
 @registered
 def rotate(spark, folder):
-    r = encode.rotate(embeddings(spark, folder), LSH_CODE)
+    r = encode.rotate(embeddings(spark, folder), LSH_CODE, keep=["vec_id"])
     one = r.select("vec_id", F.posexplode("rotated").alias("rotation", "y"))
     return one.select("vec_id", "rotation", F.posexplode("y").alias("axis", "v")).select(
         "vec_id", "rotation", "axis", F.round("v", 3).alias("value")
@@ -188,13 +188,13 @@ def learned_rotation(spark, folder):
         .select(F.lit(0).alias("rotation"), F.lit(0).alias("layer"), "i", "weight")
     )
     table_ = encode.learned_weights(weights, LSH_CODE)
-    coded = encode.components(e, LSH_CODE, weights=table_)
+    coded = encode.components(e, LSH_CODE, weights=table_, keep=["vec_id"])
     return coded.select("vec_id", F.posexplode("components").alias("rotation", "component"))
 
 
 @registered
 def cp_components(spark, folder):
-    coded = encode.components(embeddings(spark, folder), COMPONENT_CODE)
+    coded = encode.components(embeddings(spark, folder), COMPONENT_CODE, keep=["vec_id"])
     both = F.arrays_zip("components", "magnitudes")
     rows = coded.select("vec_id", F.posexplode(both).alias("rotation", "c"))
     scale = 255.0 / 512.0
@@ -211,13 +211,13 @@ def cp_components(spark, folder):
 
 @registered
 def sign_codes(spark, folder):
-    coded = encode.encode(embeddings(spark, folder), SIGN_CODE)
+    coded = encode.encode(embeddings(spark, folder), SIGN_CODE, keep=["vec_id"])
     return coded.select("vec_id", F.col("primary")[0].alias("word"), C.bit_get("primary", 5).alias("bit5"))
 
 
 @registered
 def residual_codes(spark, folder):
-    coded = encode.encode(embeddings(spark, folder), RESIDUAL_CODE)
+    coded = encode.encode(embeddings(spark, folder), RESIDUAL_CODE, keep=["vec_id"])
     return coded.select("vec_id", F.col("primary")[0].alias("primary_word"), F.col("residual")[0].alias("residual_word"))
 
 
@@ -230,7 +230,7 @@ def query_scale(spark, folder):
 
 @registered
 def bit_operations(spark, folder):
-    coded = encode.encode(embeddings(spark, folder), SIGN_CODE)
+    coded = encode.encode(embeddings(spark, folder), SIGN_CODE, keep=["vec_id"])
     flipped = coded.withColumns(
         {"on": C.bit_set("primary", 3, True), "off": C.bit_set("primary", 3, False), "none": C.clear_bits("primary")}
     )
@@ -243,7 +243,7 @@ def bit_operations(spark, folder):
 
 @registered
 def rotation_stats(spark, folder):
-    stats = metrics.rotation_stats(encode.rotate(embeddings(spark, folder), LSH_CODE))
+    stats = metrics.rotation_stats(encode.rotate(embeddings(spark, folder), LSH_CODE, keep=["vec_id"]))
     return stats.select("rotation", F.round("max_abs", 3).alias("max_abs"), F.round("mean_value", 5).alias("mean_value"), F.round("mean_peak", 4).alias("mean_peak"))
 
 
@@ -277,7 +277,7 @@ def coded_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def code_distances(spark, folder):
-    rotated = encode.rotate(embeddings(spark, folder), COMPONENT_CODE).select(F.col("vec_id").alias("i"), "rotated")
+    rotated = encode.rotate(embeddings(spark, folder), COMPONENT_CODE, keep=["vec_id"]).withColumnRenamed("vec_id", "i")
     return coded_pairs(spark, folder).join(rotated, "i").select(
         "pair_id", "i", "j", F.round("asymmetric", 3).alias("asym_distance"),
         F.round(C.weighted_score("rotated", "cb", "mb"), 2).alias("weighted"),
@@ -357,7 +357,7 @@ def asymmetric_knn(spark, folder):
 @registered
 def hamming_knn(spark, folder):
     e = embeddings(spark, folder)
-    c = encode.encode(e, SIGN_CODE).select("vec_id", "primary", "residual")
+    c = encode.encode(e, SIGN_CODE, keep=["vec_id"])
     return knn.hamming_knn(as_queries(c), c, SIGN_CODE, K, **sizes(e)).select(
         "query_id", "vec_id", "rank", F.col("dist").cast("int").alias("hamming")
     )
@@ -395,6 +395,13 @@ def lsh_pair_hash_join(spark, folder):
     return hits(lsh.multiprobe_knn(as_queries(e), e, PAIR_HASH_CODE, K, num_probes=12, hashes_per_table=2))
 
 
+@registered
+def lsh_code_rerank_join(spark, folder):
+    """Bucket rows carry codes instead of vectors; the best by code are re-ranked exactly."""
+    e = embeddings(spark, folder)
+    return hits(lsh.multiprobe_knn(as_queries(e), e, LSH_CODE, K, num_probes=4, rerank_k=40))
+
+
 @registered
 def lsh_bucket_sizes(spark, folder):
     return lsh.bucket_sizes(embeddings(spark, folder), LSH_CODE)
@@ -496,7 +503,7 @@ def graph_build_codes(spark, folder):
 @registered
 def graph_build_hamming(spark, folder):
     e = embeddings(spark, folder)
-    codes = encode.encode(e, SIGN_CODE).select("vec_id", "primary", "residual")
+    codes = encode.encode(e, SIGN_CODE, keep=["vec_id"])
     return edges_out(graph.build_graph(e, SIGN_CODE, GRAPH, "hamming", codes, **sizes(e)))
 
 
@@ -741,7 +748,7 @@ def neighbour_discrimination(spark, folder):
     codes = component_codes(e)
     near = codes.select(F.col("vec_id").alias("nearest"), F.col("components").alias("cn"))
     far = codes.select(F.col("vec_id").alias("farthest"), F.col("components").alias("cf"))
-    q = encode.rotate(as_queries(e), COMPONENT_CODE).select("query_id", "rotated")
+    q = encode.rotate(as_queries(e), COMPONENT_CODE, keep=["query_id"])
     joined = ends.join(near, "nearest").join(far, "farthest").join(q, "query_id")
     d_near, d_far = C.asymmetric_distance("rotated", "cn"), C.asymmetric_distance("rotated", "cf")
     return joined.agg(F.count(F.lit(1)).alias("queries"), F.count_if(d_near < d_far).alias("told_apart"))
@@ -764,7 +771,7 @@ def duplicates_retrieval(spark, folder):
 
 def footprint(spark: SparkSession, folder: str) -> DataFrame:
     e = embeddings(spark, folder)
-    codes = encode.encode(e, SIGN_CODE).select("vec_id", "primary", "residual")
+    codes = encode.encode(e, SIGN_CODE, keep=["vec_id"])
     edges = neighbours(spark, folder)
     words = 8 * (F.size("primary") + F.size("residual"))
     ours = metrics.memory_footprint(

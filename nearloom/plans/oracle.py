@@ -305,6 +305,11 @@ def build() -> dict[str, str]:
     )
     out["lsh_multiprobe_join"] = with_(*LSH, ranked("exact", c.K), select=hits())
     out["lsh_pair_hash_join"] = with_(*PAIR_LSH, ranked("exact", c.K), select=hits())
+    out["lsh_code_rerank_join"] = with_(
+        *LSH[:-1], all_scores("p"), "cs AS (SELECT query_id, vec_id, s.dist FROM cand JOIN p_sc s USING (query_id, vec_id))", ranked("cs", 40, "best"),
+        f"exact AS (SELECT k.query_id, k.vec_id, {COS} AS dist FROM best k JOIN e a ON a.vec_id = k.query_id JOIN e b ON b.vec_id = k.vec_id)",
+        ranked("exact", c.K), select=hits(),
+    )
     out["lsh_bucket_sizes"] = with_(EMB, hadamard(64), *coded("p", 8, 42), select='SELECT r::INTEGER AS "table", comp::BIGINT AS bucket, count(*) AS num_rows FROM p_cp GROUP BY ALL')
     out["duplicate_codes"] = with_(
         EMB, hadamard(64), *coded("p", 2, 42),
