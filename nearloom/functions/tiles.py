@@ -22,6 +22,10 @@ from nearloom.functions.rotations import keyed_rotations, pad_rows
 NO_ID = np.iinfo(np.int64).max
 QUERY_CHUNK = 1024
 BASE_CHUNK = 8192
+# Cells of up to this many pairs are scored together, without a matrix product of their own.
+SMALL_PAIRS = 1 << 12
+# Pairs of small cells scored at once.
+PAIR_CHUNK = 1 << 18
 # Stands for "no limit yet" among single-precision distances.
 FAR = 3e38
 # Rows whose exact score is computed at once.
@@ -130,8 +134,11 @@ class HammingScore:
         d *= 0.5
         return d, np.zeros(d.shape[0])
 
-    def decide(self, q, b, rows, cols):
-        raise NotImplementedError("integral scores are exact after screening")
+    def decide(self, q: dict, b: dict, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Distances of the given pairs."""
+        total = self.bits * (1 << self.shift) + self.residual_bits if self.residual_bits else self.bits
+        agree = np.einsum("ij,ij->i", q["x32"][rows], b["x32"][cols])
+        return 0.5 * (total - agree.astype(np.float64))
 
     def report(self, dist: np.ndarray) -> np.ndarray:
         return dist
@@ -182,15 +189,7 @@ class RunningTopK:
 
     def result(self, report) -> pa.RecordBatch:
         rows, cols = np.nonzero(self.ids != NO_ID)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(self.query_ids[rows], pa.int64()),
-                pa.array(self.ids[rows, cols], pa.int64()),
-                pa.array(report(self.dist[rows, cols]), pa.float64()),
-                pa.array((cols + 1).astype(np.int32), pa.int32()),
-            ],
-            names=["query_id", "vec_id", "dist", "rank"],
-        )
+        return _result(self.query_ids[rows], self.ids[rows, cols], report(self.dist[rows, cols]), cols + 1)
 
 
 def _take(features: dict, index) -> dict:
@@ -244,27 +243,61 @@ def score_chunk(top: RunningTopK, q: dict, b: dict, base_ids: np.ndarray, score,
             top.add(rows, base_ids[cols], dist, lo, hi)
 
 
-def _runs(batch: pa.RecordBatch, names: list[str]):
-    """Slices of the batch over which the named columns stay constant."""
-    if batch.num_rows == 0:
-        return
-    keys = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-    change = np.zeros(batch.num_rows, dtype=bool)
-    change[0] = True
-    for key in keys:
-        change[1:] |= key[1:] != key[:-1]
-    starts = np.nonzero(change)[0]
-    ends = np.append(starts[1:], batch.num_rows)
-    for s, e in zip(starts, ends):
-        yield tuple(key[s] for key in keys), batch.slice(s, e - s)
-
-
 def _join(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
 
 
+def _result(query_ids, ids, dist, rank) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(query_ids, pa.int64()),
+            pa.array(ids, pa.int64()),
+            pa.array(dist, pa.float64()),
+            pa.array(rank.astype(np.int32), pa.int32()),
+        ],
+        names=["query_id", "vec_id", "dist", "rank"],
+    )
+
+
+def small_cells_topk(batch: pa.RecordBatch, num_queries: np.ndarray, num_base: np.ndarray, score, k: int, exclude_self: bool):
+    """Top k of many small cells at once.
+
+    ``batch`` holds whole cells one after the other, each with its ``num_queries`` query rows
+    before its ``num_base`` base rows. Pairs exist only inside this function, a chunk at a time.
+    """
+    is_query = batch.column("side").to_numpy(zero_copy_only=False) == 0
+    q_batch, b_batch = batch.filter(pa.array(is_query)), batch.filter(pa.array(~is_query))
+    q, b = score.query(q_batch), score.base(b_batch)
+    q_ids, b_ids = q_batch.column("id").to_numpy(), b_batch.column("id").to_numpy()
+    # Per query row: how many base rows its cell has and where they start.
+    width = np.repeat(num_base, num_queries)
+    start = np.repeat(np.cumsum(num_base) - num_base, num_queries)
+    ends = np.cumsum(width)
+    lo = 0
+    while lo < len(width):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIR_CHUNK, side="right")))
+        w = width[lo:hi]
+        rows = np.repeat(np.arange(lo, hi), w)
+        cols = np.arange(len(rows)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(start[lo:hi], w)
+        if exclude_self:
+            other = q_ids[rows] != b_ids[cols]
+            rows, cols = rows[other], cols[other]
+        if len(rows):
+            dist = score.decide(q, b, rows, cols)
+            order = np.lexsort((b_ids[cols], dist, rows))
+            rows, cols, dist = rows[order], cols[order], dist[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+            best = place < k
+            yield _result(q_ids[rows[best]], b_ids[cols[best]], score.report(dist[best]), place[best] + 1)
+        lo = hi
+
+
 def cell_topk(score, k: int, cell_columns: list[str], exclude_self: bool):
-    """Batch function over rows ``cell columns, side, id, vec, code`` sorted by (cell, side)."""
+    """Batch function over rows ``cell columns, side, id, vec, code`` sorted by (cell, side).
+
+    A cell that ends in another batch than it starts, or has many pairs, is streamed through a
+    running top k; the small cells that lie within a batch are scored together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, top, features = None, None, None
@@ -285,35 +318,66 @@ def cell_topk(score, k: int, cell_columns: list[str], exclude_self: bool):
                 part = block.slice(s, BASE_CHUNK)
                 score_chunk(top, features, score.base(part), part.column("id").to_numpy(), score, exclude_self)
 
-        def close():
+        def close() -> Iterator[pa.RecordBatch]:
             nonlocal top, features
             if top is not None and waiting_base:
                 drain()
             waiting_queries.clear()
             waiting_base.clear()
             done, top, features = top, None, None
-            return done
+            if done is not None:
+                yield done.result(score.report)
+
+        def stream(rows: pa.RecordBatch) -> None:
+            """Rows of one cell, all of it or a part."""
+            num_queries = int((rows.column("side").to_numpy(zero_copy_only=False) == 0).sum())
+            if num_queries:
+                waiting_queries.append(rows.slice(0, num_queries))
+            if num_queries == rows.num_rows:
+                return
+            if waiting_queries:
+                open_queries()
+            if top is None:
+                return
+            waiting_base.append(rows.slice(num_queries))
+            if sum(b.num_rows for b in waiting_base) >= BASE_CHUNK:
+                drain()
 
         for batch in batches:
-            for key, run_rows in _runs(batch, cell_columns + ["side"]):
-                if key[:-1] != cell:
-                    done = close()
-                    if done is not None:
-                        yield done.result(score.report)
-                    cell = key[:-1]
-                if key[-1] == 0:
-                    waiting_queries.append(run_rows)
-                    continue
-                if waiting_queries:
-                    open_queries()
-                if top is None:
-                    continue
-                waiting_base.append(run_rows)
-                if sum(b.num_rows for b in waiting_base) >= BASE_CHUNK:
-                    drain()
-        done = close()
-        if done is not None:
-            yield done.result(score.report)
+            if batch.num_rows == 0:
+                continue
+            keys = [batch.column(n).to_numpy(zero_copy_only=False) for n in cell_columns]
+            change = np.zeros(batch.num_rows, dtype=bool)
+            for key in keys:
+                change[1:] |= key[1:] != key[:-1]
+            starts = np.concatenate(([0], np.nonzero(change)[0]))
+            ends = np.append(starts[1:], batch.num_rows)
+            first = tuple(key[0] for key in keys)
+            if first != cell:
+                yield from close()
+            cell = first
+            stream(batch.slice(0, ends[0]))
+            if len(starts) == 1:
+                continue
+            yield from close()
+            # Whole cells inside this batch.
+            inner = slice(1, len(starts) - 1)
+            side = batch.column("side").to_numpy(zero_copy_only=False)
+            queries = np.add.reduceat((side == 0).astype(np.int64), starts)[inner]
+            base = (ends - starts)[inner] - queries
+            paired = (queries > 0) & (base > 0)
+            small = paired & (queries * base <= SMALL_PAIRS)
+            if small.any():
+                member = np.zeros(len(starts), dtype=bool)
+                member[inner] = small
+                rows = np.repeat(member, ends - starts)
+                yield from small_cells_topk(batch.filter(pa.array(rows)), queries[small], base[small], score, k, exclude_self)
+            for i in np.nonzero(paired & ~small)[0] + 1:
+                stream(batch.slice(starts[i], ends[i] - starts[i]))
+                yield from close()
+            cell = tuple(key[-1] for key in keys)
+            stream(batch.slice(starts[-1]))
+        yield from close()
 
     return run
 

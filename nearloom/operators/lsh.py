@@ -160,9 +160,7 @@ def keyed_topk(
     """
     cell_query_rows = cell_query_rows or query_part_rows(dim, k)
     if most_rows is not None and most_rows[0] <= cell_query_rows and most_rows[1] <= cell_base_rows:
-        no_split = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys).schema.fields)
-        split = base.sparkSession.createDataFrame([], f"{no_split}, qn int, bn int")
-        return _cells_topk(queries, base, keys, split, score, k, exclude_self)
+        return _cells_topk(queries, base, keys, None, score, k, exclude_self)
     q_split = (
         queries.groupBy(*keys).count().filter(F.col("count") > cell_query_rows)
         .select(*keys, F.ceil(F.col("count") / cell_query_rows).cast("int").alias("qn"), F.lit(1).alias("bn"))
@@ -176,9 +174,13 @@ def keyed_topk(
     return _cells_topk(queries, base, keys, F.broadcast(split), score, k, exclude_self)
 
 
-def _cells_topk(queries: DataFrame, base: DataFrame, keys: list[str], split: DataFrame, score, k: int, exclude_self: bool) -> DataFrame:
+def _cells_topk(queries: DataFrame, base: DataFrame, keys: list[str], split: DataFrame | None, score, k: int, exclude_self: bool) -> DataFrame:
     """``split`` holds the number of query and base parts, ``qn, bn``, of the keys beyond one cell."""
     qn, bn = F.coalesce("qn", F.lit(1)), F.coalesce("bn", F.lit(1))
+    if split is None:
+        queries, base = (d.withColumns({"qn": F.lit(1), "bn": F.lit(1)}) for d in (queries, base))
+    else:
+        queries, base = queries.join(split, keys, "left"), base.join(split, keys, "left")
 
     def own(n):
         return F.pmod(F.xxhash64("id"), n).cast("int")
@@ -191,10 +193,10 @@ def _cells_topk(queries: DataFrame, base: DataFrame, keys: list[str], split: Dat
     def payload(df: DataFrame):
         return [F.col(n).alias(n) if n in df.columns else absent[n].alias(n) for n in ("vec", "code")]
 
-    q_rows = queries.join(split, keys, "left").select(
+    q_rows = queries.select(
         *keys, own(qn).alias("a"), every(bn).alias("b"), F.lit(0).alias("side"), "id", *payload(queries)
     )
-    b_rows = base.join(split, keys, "left").select(
+    b_rows = base.select(
         *keys, every(qn).alias("a"), own(bn).alias("b"), F.lit(1).alias("side"), "id", *payload(base)
     )
     cell = [*keys, "a", "b"]
