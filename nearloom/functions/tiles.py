@@ -28,8 +28,8 @@ SMALL_PAIRS = 1 << 12
 PAIR_CHUNK = 1 << 18
 # Stands for "no limit yet" among single-precision distances.
 FAR = 3e38
-# Rows whose exact score is computed at once.
-REFINE_CHUNK = 1 << 18
+# Pairs whose exact score is computed at once: their vectors stay in the cache.
+REFINE_CHUNK = 1 << 12
 
 RESULT_SCHEMA = "query_id bigint, vec_id bigint, dist double, rank int"
 
@@ -269,26 +269,36 @@ def small_cells_topk(batch: pa.RecordBatch, num_queries: np.ndarray, num_base: n
     q_batch, b_batch = batch.filter(pa.array(is_query)), batch.filter(pa.array(~is_query))
     q, b = score.query(q_batch), score.base(b_batch)
     q_ids, b_ids = q_batch.column("id").to_numpy(), b_batch.column("id").to_numpy()
-    # Per query row: how many base rows its cell has and where they start.
+    # Ids ascend within a cell, so that a stable sort by distance leaves ties in id order.
+    by_id = np.lexsort((b_ids, np.repeat(np.arange(len(num_base)), num_base)))
+    b, b_ids = _take(b, by_id), b_ids[by_id]
+    # Per query row: how many base rows its cell has and where they start; rows of like width together.
     width = np.repeat(num_base, num_queries)
     start = np.repeat(np.cumsum(num_base) - num_base, num_queries)
-    ends = np.cumsum(width)
+    turn = np.argsort(width, kind="stable")
     lo = 0
-    while lo < len(width):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIR_CHUNK, side="right")))
-        w = width[lo:hi]
-        rows = np.repeat(np.arange(lo, hi), w)
-        cols = np.arange(len(rows)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(start[lo:hi], w)
+    while lo < len(turn):
+        hi = lo + max(1, PAIR_CHUNK // int(width[turn[lo]]))
+        part = turn[lo:hi]
+        most = int(width[part[-1]])
+        if len(part) * most > 2 * PAIR_CHUNK:
+            hi = lo + max(1, 2 * PAIR_CHUNK // most)
+            part = turn[lo:hi]
+            most = int(width[part[-1]])
+        filled = np.arange(most)[None, :] < width[part][:, None]
+        r, c = np.nonzero(filled)
+        rows, cols = part[r], start[part[r]] + c
+        dist = score.decide(q, b, rows, cols)
         if exclude_self:
-            other = q_ids[rows] != b_ids[cols]
-            rows, cols = rows[other], cols[other]
-        if len(rows):
-            dist = score.decide(q, b, rows, cols)
-            order = np.lexsort((b_ids[cols], dist, rows))
-            rows, cols, dist = rows[order], cols[order], dist[order]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
-            best = place < k
-            yield _result(q_ids[rows[best]], b_ids[cols[best]], score.report(dist[best]), place[best] + 1)
+            dist[q_ids[rows] == b_ids[cols]] = np.inf
+        grid = np.full(filled.shape, np.inf)
+        grid[filled] = dist
+        best = np.argsort(grid, axis=1, kind="stable")[:, :k]
+        chosen = np.take_along_axis(grid, best, 1)
+        r, place = np.nonzero(np.isfinite(chosen))
+        yield _result(
+            q_ids[part[r]], b_ids[start[part[r]] + best[r, place]], score.report(chosen[r, place]), place + 1
+        )
         lo = hi
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearloom.functions import tiles
@@ -20,7 +20,7 @@ from nearloom.functions import vectors as V
 from nearloom.functions.arrow import list_matrix, matrix_list
 from nearloom.functions.rotations import TIE_GAP, keyed_rotations, pad_rows
 from nearloom.operators.encode import ROW_CHUNK
-from nearloom.operators.knn import query_part_rows, rerank, top_k
+from nearloom.operators.knn import query_part_rows, rerank
 from nearloom.params import CodeParams
 
 # Base rows of a bucket beyond this go to further cells.
@@ -202,8 +202,11 @@ def _cells_topk(queries: DataFrame, base: DataFrame, keys: list[str], split: Dat
     cell = [*keys, "a", "b"]
     placed = q_rows.unionByName(b_rows).repartition(*cell).sortWithinPartitions(*cell, "side")
     partial = placed.mapInArrow(tiles.cell_topk(score, k, cell, exclude_self), tiles.RESULT_SCHEMA)
-    distinct = partial.groupBy("query_id", "vec_id").agg(F.min("dist").alias("dist"))
-    return top_k(distinct, k)
+    # A pair met in several cells has one distance, so repeats share their dense rank. The one
+    # shuffle by query serves the ranking and the removal of repeats.
+    gathered = partial.select("query_id", "vec_id", "dist").repartition("query_id")
+    order = Window.partitionBy("query_id").orderBy("dist", "vec_id")
+    return gathered.withColumn("rank", F.dense_rank().over(order)).filter(F.col("rank") <= k).distinct()
 
 
 def multiprobe_knn(
