@@ -205,7 +205,8 @@ def reachable(edges: DataFrame, entries: DataFrame, max_rounds: int = 10000) ->
         seen = seen.unionByName(fresh)
         depth += 1
         if depth % 8 == 0:
-            seen = cut_lineage(seen.coalesce(bucket_count(edges.sparkSession)))
+            # Few files again after the unions.
+            seen = cut_lineage(seen.repartition(bucket_count(edges.sparkSession, seen.count()), "node"))
     return seen
 
 

@@ -73,7 +73,10 @@ def build_index(
     edges = graph.build_graph(vectors, code_params, graph_params, source, codes, **options)
     code_cols = list(registry.METRICS[metric].base_columns)
     full = graph.with_neighbour_codes(edges, codes, code_cols)
-    return VectorIndex(vectors, codes, write_bucketed(full, "src"), code_params, graph_params, metric)
+    # Edges are counted by their nodes: up to max_degree rows each.
+    buckets = bucket_count(df.sparkSession, graph_params.max_degree * vectors.count())
+    edge_table = write_bucketed(full, "src", buckets=buckets)
+    return VectorIndex(vectors, codes, edge_table, code_params, graph_params, metric)
 
 
 def beam_search(
@@ -84,6 +87,7 @@ def beam_search(
     params: SearchParams,
     code_params: CodeParams | None = None,
     hot_rows: int = HOT_ROWS,
+    num_queries: int | None = None,
 ) -> DataFrame:
     """Final beams ``query_id, node, dist, rank`` of all queries.
 
@@ -94,11 +98,13 @@ def beam_search(
     serves as the visited set and the state stays at ``ef`` rows per query.
     """
     score = registry.distance(metric, code_params)
-    buckets = bucket_count(queries.sparkSession)
-    query_side = write_bucketed(queries.select("query_id", *registry.as_query_columns(metric)), "query_id")
+    buckets = bucket_count(queries.sparkSession, num_queries)
+    query_side = write_bucketed(queries.select("query_id", *registry.as_query_columns(metric)), "query_id", buckets=buckets)
     code_columns = registry.as_base_columns(metric)
     code_names = [f"b_{c}" for c in registry.METRICS[metric].base_columns]
     hops = edges.select("src", F.col("dst").alias("node"), *registry.as_base_columns(metric, "dst_"))
+    # Both sides are read in every round; a lost executor reads its part from the tables again.
+    query_side, hops = query_side.persist(), hops.persist()
 
     # At most MAX_ENTRIES rows, carried to all queries as one array.
     starts = entries.select("node", *code_columns).limit(MAX_ENTRIES)
@@ -126,6 +132,8 @@ def beam_search(
         state = cut_lineage(_keep_best(rows, params))
     else:
         finished.append(state)
+    query_side.unpersist()
+    hops.unpersist()
     final = reduce(DataFrame.unionByName, finished)
     return knn.top_k(final.select("query_id", "node", "dist"), params.ef, "query_id", ("dist", "node"))
 
@@ -170,7 +178,7 @@ def ann_search(
     coded = encode_queries(queries, index.code_params, index.metric, avg_norm, query_id, vec_col)
     if entries is None:
         entries = index_entries(index, params.num_entry_points, None if params.num_entry_points == 1 else index.code_params.seed)
-    beams = beam_search(coded, index.edges, entries, index.metric, params, index.code_params)
+    beams = beam_search(coded, index.edges, entries, index.metric, params, index.code_params, num_queries=queries.count())
     hits = beams.withColumnRenamed("node", "vec_id")
     if params.rerank:
         depth = hits.filter(F.col("rank") <= params.effective_rerank_k)

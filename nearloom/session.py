@@ -56,8 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def bucket_count(spark: SparkSession, rows: int | None = None) -> int:
+    """Partitions for ``rows`` small rows: all cores for little data, the session's setting at most."""
+    most = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if rows is None:
+        return most
+    cores = min(spark.sparkContext.defaultParallelism, -(-rows // 250))
+    return max(1, min(most, max(cores, -(-rows // 100_000))))
 
 
 def write_bucketed(df: DataFrame, key: str, path: str | None = None, buckets: int | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def _bucketed(spark: SparkSession, schema: str, path: str, buckets: int) -> Data
 def save_index(index: VectorIndex, path: str, buckets: int | None = None) -> None:
     """Write a new index directory; fails if it holds data."""
     spark = index.vectors.sparkSession
-    buckets = buckets or bucket_count(spark)
+    buckets = buckets or bucket_count(spark, index.graph_params.max_degree * index.vectors.count())
     index.vectors.write.parquet(f"{path}/vectors")
     index.codes.write.parquet(f"{path}/codes")
     name = f"nearloom_{uuid.uuid4().hex}"
