@@ -107,12 +107,13 @@ def beam_search(
     query_side, hops = query_side.persist(), hops.persist()
 
     # At most MAX_ENTRIES rows, carried to all queries as one array.
-    starts = entries.select("node", *code_columns).limit(MAX_ENTRIES)
+    starts = entries.dropDuplicates(["node"]).select("node", *code_columns).limit(MAX_ENTRIES)
     start_array = starts.agg(F.collect_list(F.struct("node", *code_names))).scalar()
     begun = query_side.withColumn("s", start_array).withColumn("s", F.explode("s")).select(*query_side.columns, "s.*")
     first = begun.select("query_id", "node", score.alias("dist"), F.lit(False).alias("expanded"))
     state = cut_lineage(_keep_best(first.repartition(buckets, "query_id"), params))
 
+    once = Window.partitionBy("query_id", "node").orderBy("fresh")
     finished = []
     for _ in range(params.max_iter):
         finished.append(state.filter(~F.col("open")))
@@ -123,13 +124,19 @@ def beam_search(
         picks = active.filter("picked").select("query_id", F.col("node").alias("src"))
         # With no more rows than a hot key has, no node can be hot.
         met = picks.join(hops, "src") if open_rows <= hot_rows else split_join(picks, hops, ["src"], hot_rows)
-        found = met.join(query_side, "query_id").select(
-            "query_id", "node", score.alias("dist"), F.lit(False).alias("expanded")
+        found = met.select("query_id", "node", *code_names).withColumns(
+            {"dist": F.lit(None).cast("double"), "expanded": F.lit(False), "fresh": F.lit(True)}
         )
-        held = active.select("query_id", "node", "dist", (F.col("expanded") | F.col("picked")).alias("expanded"))
-        # Everything after this one shuffle of narrow rows stays within a query.
-        rows = found.unionByName(held).repartition(buckets, "query_id")
-        state = cut_lineage(_keep_best(rows, params))
+        held = active.select(
+            "query_id", "node", "dist", (F.col("expanded") | F.col("picked")).alias("expanded"), F.lit(False).alias("fresh")
+        )
+        # By query: drop what the beam holds and what several picks found, then score the rest.
+        rows = found.unionByName(held, allowMissingColumns=True).repartition(buckets, "query_id")
+        new = rows.withColumn("copy", F.row_number().over(once)).filter("copy = 1")
+        scored = new.join(query_side, "query_id").select(
+            "query_id", "node", F.coalesce("dist", score).alias("dist"), "expanded"
+        )
+        state = cut_lineage(_keep_best(scored.repartition(buckets, "query_id"), params))
     else:
         finished.append(state)
     query_side.unpersist()
@@ -139,9 +146,8 @@ def beam_search(
 
 
 def _keep_best(rows: DataFrame, params: SearchParams) -> DataFrame:
-    """The ``ef`` best distinct nodes per query, the ``width`` nodes to expand next, and whether any is left."""
-    distinct = rows.groupBy("query_id", "node").agg(F.min("dist").alias("dist"), F.max("expanded").alias("expanded"))
-    best = knn.top_k(distinct, params.ef, "query_id", ("dist", "node")).drop("rank")
+    """The ``ef`` best nodes per query, the ``width`` nodes to expand next, and whether any is left."""
+    best = knn.top_k(rows, params.ef, "query_id", ("dist", "node")).drop("rank")
     turn = Window.partitionBy("query_id").orderBy("dist", "node").rowsBetween(Window.unboundedPreceding, 0)
     waiting = F.sum((~F.col("expanded")).cast("int"))
     return best.withColumns(
