@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm import mixing, simhash
+from nearloom.llm import ann, mixing, simhash, vector_dedup
 from nearloom.llm.common import table
 
 
+def op1_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter(F.col("vec_id") % 100 == 0)
+    return ann.multiprobe_search(queries, vectors, k=10)
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_copies(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id")
@@ -22,4 +32,4 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op3_simhash_near_dedup, op4_curriculum_mix)}
+REGISTRY = {f.__name__: f for f in (op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix)}
