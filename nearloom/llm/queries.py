@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm import ann, mixing, simhash, vector_dedup
-from nearloom.llm.common import table
+from nearloom.llm import ann, langid, mixing, quality, simhash, toxicity, vector_dedup
+from nearloom.llm.common import fold, table
+from nearloom.llm.labelled import labelled_sample
 
 
 def op1_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,4 +33,40 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-REGISTRY = {f.__name__: f for f in (op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix)}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    dictionaries = langid.fit(docs, ~held_out)
+    return langid.identify(docs, dictionaries).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected"
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", 5, 0, toxicity.SAMPLE)
+    scored = toxicity.score(docs, toxicity.fit(sample))
+    return _with_prediction(scored, 0.5)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "quality", 5, 0, quality.SAMPLE)
+    scored = quality.score(docs, quality.fit(sample))
+    return _with_prediction(scored, 0.3)
+
+
+def _with_prediction(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+REGISTRY = {
+    f.__name__: f
+    for f in (
+        op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix,
+        op6_language_id, op7_toxicity, op8_quality,
+    )
+}
