@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from nearloom.llm.licenses import template_rows
+
 OP4 = r"""
 WITH sized AS (
   SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
@@ -40,5 +42,34 @@ FROM curve
 """
 
 
+OP9 = r"""
+WITH templates(license, template) AS (VALUES @ROWS@),
+passages AS (
+  SELECT row_number() OVER () AS r, doc_id, kind, number, content FROM (
+    SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number
+    FROM documents
+    UNION ALL
+    SELECT doc_id, 'paragraph' AS kind, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS content,
+           generate_subscripts(regexp_split_to_array(text, '\n[ \t\r]*\n'), 1) - 1 AS number
+    FROM documents)
+  WHERE kind = 'line' OR contains(content, chr(10))),
+words AS (
+  SELECT r, doc_id, kind, number,
+         string_split(trim(regexp_replace(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM passages),
+grams AS (
+  SELECT r, doc_id, kind, number,
+         list_distinct(CASE WHEN len(w) > 1 THEN [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] ELSE w END) AS g
+  FROM words WHERE w[1] <> ''),
+scored AS (
+  SELECT r, doc_id, kind, number, license, 2.0::DOUBLE * len(list_intersect(g, template)) / (len(g) + len(template)) AS dice
+  FROM grams JOIN templates ON len(g) <= len(template) * 1.5000001 AND len(template) <= len(g) * 1.5000001)
+SELECT doc_id, kind, CAST(number AS INTEGER) AS number, license, dice FROM scored WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, license) = 1
+"""
+
+
 def build() -> dict[str, str]:
-    return {"op4_curriculum_mix": OP4}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, grams in template_rows())
+    return {"op4_curriculum_mix": OP4, "op9_license_scan": OP9.replace("@ROWS@", rows)}
