@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearloom.session import ensure_checkpoint_dir
+
 # A word is a run of characters outside space, tab, line feed, vertical tab, form feed and
 # carriage return. ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,3 +43,10 @@ def parts_for(rows: int, rows_per_part: int, floor: int = 1) -> int:
 def root_parts(rows: int, least: int = 256) -> int:
     """Number of parts where neither the parts nor the rows of a part exceed about sqrt(rows)."""
     return max(1, math.ceil(rows / max(least, math.isqrt(max(rows, 1)))))
+
+
+def write_shared(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: compressed, and read again after a loss."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm import ann, langid, licenses, mixing, quality, simhash, toxicity, vector_dedup
+from nearloom.llm import ann, langid, licenses, mixing, quality, simhash, suffix_lm, toxicity, vector_dedup
 from nearloom.llm.common import fold, table
 from nearloom.llm.labelled import labelled_sample
 
@@ -60,6 +60,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+
+
 def _with_prediction(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
@@ -71,6 +75,6 @@ REGISTRY = {
     f.__name__: f
     for f in (
         op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix,
-        op6_language_id, op7_toxicity, op8_quality, op9_license_scan,
+        op6_language_id, op7_toxicity, op8_quality, op9_license_scan, op10_suffix_tree_scores,
     )
 }
