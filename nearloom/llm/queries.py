@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm import ann, langid, licenses, mixing, quality, simhash, suffix_lm, toxicity, vector_dedup
+from nearloom.llm import ann, bpe, langid, licenses, mixing, quality, simhash, suffix_lm, toxicity, vector_dedup
 from nearloom.llm.common import fold, table
 from nearloom.llm.labelled import labelled_sample
 
@@ -33,6 +34,22 @@ def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Token counts and digests of ids and of decoded bytes of all rows."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    both = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 3) == 1
@@ -74,7 +91,7 @@ def _with_prediction(scored: DataFrame, threshold: float) -> DataFrame:
 REGISTRY = {
     f.__name__: f
     for f in (
-        op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix,
+        op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix, op5_byte_bpe,
         op6_language_id, op7_toxicity, op8_quality, op9_license_scan, op10_suffix_tree_scores,
     )
 }
