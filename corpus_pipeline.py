@@ -37,7 +37,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, as often as the mix takes them."""
     ship_package(spark)
-    return mixing.training_order(mixing.plan_mix(docs), docs.columns)
+    return mixing.training_order(mixing.plan_mix(docs, prefix="_mix_"), docs.columns, prefix="_mix_")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

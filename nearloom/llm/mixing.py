@@ -62,10 +62,9 @@ def source_targets(
     return places.withColumn("target", target)
 
 
-def _position(share: Column, start: Column, end: Column) -> Column:
-    """The time in [0, 1] by which a weight that goes linearly from ``start`` to ``end`` has used ``share`` of its sum."""
-    a, b = start * 2 / (start + end), end * 2 / (start + end)
-    return F.lit(2.0) * share / (a + F.sqrt(a * a + F.lit(2.0) * (b - a) * share))
+def _position(share: Column, first: Column, last: Column) -> Column:
+    """The time in [0, 1] by which a weight that goes linearly from ``first`` to ``last``, of mean 1, has used ``share`` of its sum."""
+    return F.lit(2.0) * share / (first + F.sqrt(first * first + F.lit(2.0) * (last - first) * share))
 
 
 def plan_mix(
@@ -76,6 +75,7 @@ def plan_mix(
     weights: Sequence[float] = WEIGHTS,
     ramps: Sequence[tuple[float, float]] = RAMPS,
     max_repeats: int = MAX_REPEATS,
+    prefix: str = "",
 ) -> DataFrame:
     """Every row of ``docs`` with what the mix takes of it.
 
@@ -91,19 +91,19 @@ def plan_mix(
     whose sums are accumulated per source, then rows are accumulated per bucket; a source that
     holds a third of all rows is spread over all buckets. Null texts have size 0; rows of size 0 are
     in no piece; null sources are a source; rows with a null key stand first. Repeated rows are
-    documents of their own, in no particular order. Columns named like the added ones are replaced.
-    An empty table gives no rows.
+    documents of their own, in no particular order. Names of the added columns start with
+    ``prefix``; columns named like them are replaced. An empty table gives no rows.
     """
     added = ("size", "source_size", "target", "taken", "pieces")
-    docs = docs.drop(*added)
+    docs = docs.drop(*[prefix + c for c in added])
     keyed = docs.withColumns(
         {
-            "size": word_count(F.col(text)),
+            "_size": word_count(F.col(text)),
             "_source": _source_key(source),
             "_hash": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")),
         }
     )
-    sized = cut_lineage(keyed.select(F.col(source).cast("string").alias("_name"), "_source", "_hash", "size"))
+    sized = cut_lineage(keyed.select(F.col(source).cast("string").alias("_name"), "_source", "_hash", F.col("_size").alias("size")))
     rows = sized.count()
     buckets = root_parts(rows)
     bucket = F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int")
@@ -113,40 +113,44 @@ def plan_mix(
         mine = F.pmod("place", F.lit(len(ramps))) == i
         start, end = F.when(mine, float(first)).otherwise(start), F.when(mine, float(last)).otherwise(end)
     sources = sources.select(
-        F.col("source_key").alias("_source"), "source_size", "target", start.alias("_start"), end.alias("_end")
+        F.col("source_key").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
+        (start * 2 / (start + end)).alias("_first"), (end * 2 / (start + end)).alias("_last"),
     )
     sums = sized.withColumn("_bucket", bucket).groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
     before = F.expr("coalesce(sum(_sum) over (partition by _source order by _bucket rows between unbounded preceding and 1 preceding), 0)")
-    offsets = sums.withColumn("_offset", before).drop("_sum").join(sources, "_source")
+    # Written once, so that the expressions below stay small.
+    offsets = cut_lineage(sums.withColumn("_offset", before).drop("_sum").join(sources, "_source"))
     inside = F.expr(
-        "coalesce(sum(size) over (partition by _source, _bucket order by _hash rows between unbounded preceding and 1 preceding), 0)"
+        "coalesce(sum(_size) over (partition by _source, _bucket order by _hash rows between unbounded preceding and 1 preceding), 0)"
     )
     placed = keyed.withColumn("_bucket", bucket).withColumn("_before", inside).join(offsets, ["_source", "_bucket"])
-    demand = F.round("target").cast("long")
+    demand = F.round("_target").cast("long")
     at = F.col("_offset") + F.col("_before")
     copies = F.array(
         *[
             F.struct(
                 F.lit(c).alias("copy"),
-                F.least(demand - F.col("source_size") * c - at, F.col("size")).alias("words"),
-                _position((F.col("source_size") * c + at) / demand, F.col("_start"), F.col("_end")).alias("position"),
+                F.least(demand - F.col("_source_size") * c - at, F.col("_size")).alias("words"),
+                _position(
+                    (F.col("_source_size") * c + at) / F.greatest(demand, F.lit(1)), F.col("_first"), F.col("_last")
+                ).alias("position"),
             )
             for c in range(max_repeats)
         ]
     )
-    placed = placed.withColumn("pieces", F.filter(copies, lambda p: p["words"] > 0))
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["words"])
-    return placed.withColumn("taken", taken).select(*docs.columns, *added)
+    pieces = F.filter(copies, lambda p: p["words"] > 0)
+    words = [F.greatest(F.lit(0).cast("long"), F.least(demand - F.col("_source_size") * c - at, F.col("_size"))) for c in range(max_repeats)]
+    made = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "taken": sum(words[1:], words[0]), "pieces": pieces}
+    return placed.select(*docs.columns, *[made[c].alias(prefix + c) for c in added])
 
 
-def training_order(plan: DataFrame, columns: Sequence[str] | None = None, share: float = 0.5) -> DataFrame:
-    """The documents of a planned mix in training order, a row for each copy.
+def training_order(plan: DataFrame, columns: Sequence[str], key: str = "doc_id", share: float = 0.5, prefix: str = "") -> DataFrame:
+    """The documents of a planned mix in training order, a row for each copy, with the given columns.
 
     A copy of which the mix takes at least ``share`` of the words goes in whole, any other stays
-    out. Rows are range-sorted by position, ties by hash. ``columns`` defaults to all of the plan.
+    out. Rows are range-sorted by position, ties by the hash of the key.
     """
-    names = list(columns) if columns else [c for c in plan.columns if c != "pieces"]
-    due = plan.withColumn("_piece", F.explode("pieces")).filter(
-        F.col("_piece")["words"] >= F.lit(float(share)) * F.col("size")
-    )
-    return due.orderBy(F.col("_piece")["position"], F.xxhash64(*[F.col(c) for c in names])).select(*names)
+    size = F.col(prefix + "size").alias("_of")
+    due = plan.select(*columns, size, F.explode(prefix + "pieces").alias("_piece"))
+    due = due.filter(F.col("_piece")["words"] >= F.lit(float(share)) * F.col("_of"))
+    return due.orderBy(F.col("_piece")["position"], F.xxhash64(key), F.col("_piece")["copy"]).select(*columns)
