@@ -142,7 +142,7 @@ def _score(index: pa.Table, probes: pa.Table, dim: int, k: int) -> pa.Table:
             out_q.append(mine[r])
             out_v.append(ids[low:high][c])
             out_d.append(d[r, c])
-    if not out_q:
+    if not any(map(len, out_q)):
         return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     a, v, d = np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_d)
     order = np.lexsort((v, d, a))
