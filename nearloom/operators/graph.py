@@ -183,15 +183,15 @@ def entry_points(nodes: DataFrame, count: int = 1, seed: int | None = None, id_c
     return ids.distinct().orderBy(keyed.hash60(seed if seed is not None else 42, F.col("node")), "node").limit(count)
 
 
-def reachable(edges: DataFrame, entries: DataFrame, max_rounds: int = 10000) -> DataFrame:
-    """Nodes reachable from the entries, ``node, depth``: breadth-first rounds of joins.
+def reachable(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """All nodes reachable from the entries, ``node, depth``: breadth-first rounds of joins.
 
     A round joins the frontier (unique nodes) to the edges, so no key is hot; each round is
     written to the checkpoint folder.
     """
     seen = cut_lineage(entries.select("node").distinct().withColumn("depth", F.lit(0)))
     depth = 0
-    while depth < max_rounds:
+    while True:
         frontier = seen.filter(F.col("depth") == depth).select(F.col("node").alias("src"))
         fresh = (
             edges.select("src", "dst").join(frontier, "src", "left_semi")

@@ -18,6 +18,7 @@ from nearloom.functions import codes as C
 from nearloom.functions import keyed, pairs, tiles
 from nearloom.functions import vectors as V
 from nearloom.params import CodeParams
+from nearloom.session import cut_lineage, number_rows
 
 # Memory for the query part of a cell and its distance tile.
 TASK_BYTES = 256 << 20
@@ -266,15 +267,15 @@ def rerank(
 ) -> DataFrame:
     """Exact distance of every distinct candidate, cut to the k best per query.
 
-    Candidates without a stored vector disappear. A vector named by very many queries is a hot
+    Candidates whose stored vector, or whose query's vector, is missing or null disappear. A vector named by very many queries is a hot
     key of the gather join; the vector side has one row per key, so adaptive execution can split
     the candidates of a hot partition freely.
     """
     if metric not in V.VECTOR_METRICS:
         raise ValueError(f"unknown metric {metric}")
     named = candidates.select("query_id", "vec_id").distinct()
-    vectors = base.select(F.col(vec_id).alias("vec_id"), F.col(vec_col).alias("_b"))
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("_q"))
+    vectors = base.select(F.col(vec_id).alias("vec_id"), F.col(vec_col).alias("_b")).filter("_b is not null")
+    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("_q")).filter("_q is not null")
     gathered = named.join(vectors, "vec_id").join(wanted, "query_id")
     scored = gathered.select("query_id", "vec_id", pairs.vector_distance(metric, "_q", "_b").alias("dist"))
     return top_k(scored, k)
@@ -295,16 +296,19 @@ def edge_list(matrix: DataFrame, sentinel: int = 0xFFFFFFFF) -> DataFrame:
 def sample_pairs(
     df: DataFrame, num_pairs: int | None = None, per_vector: int = 20, seed: int = 42, id_col: str = "vec_id"
 ) -> DataFrame:
-    """Random pairs ``pair_id, i, j`` with i != j over ids 0..n-1; equal draws move j to j+1 mod n.
+    """Random pairs ``pair_id, i, j`` of distinct ids; equal draws move j to the next id.
 
-    ``num_pairs`` fixes the sample size; by default every vector contributes ``per_vector`` pairs.
+    Ids are numbered in ascending order and positions are drawn, so ids may be any longs. ``num_pairs``
+    fixes the sample size; by default every vector contributes ``per_vector`` pairs. Null ids
+    take no part and repeated ids count once.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ids = cut_lineage(number_rows(df.select(F.col(id_col).alias("id")), "id"))
+    n = ids.agg(F.count(F.lit(1)).alias("n")).scalar()
     if num_pairs is not None:
         numbered = df.sparkSession.range(num_pairs).select(F.col("id").alias("pair_id"))
     else:
-        draws = df.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(per_vector - 1))).alias("draw"))
-        numbered = draws.select((F.col("id") * per_vector + F.col("draw")).alias("pair_id"))
+        draws = ids.select("number", F.explode(F.sequence(F.lit(0), F.lit(per_vector - 1))).alias("draw"))
+        numbered = draws.select((F.col("number") * per_vector + F.col("draw")).alias("pair_id"))
     drawn = numbered.select(
         "pair_id",
         n.alias("n"),
@@ -312,7 +316,10 @@ def sample_pairs(
         F.pmod(keyed.hash60(seed, F.col("pair_id"), "j"), n).alias("j"),
     )
     shifted = F.when(F.col("i") == F.col("j"), F.pmod(F.col("j") + 1, F.col("n"))).otherwise(F.col("j"))
-    return drawn.filter(F.col("n") > 1).select("pair_id", "i", shifted.alias("j"))
+    placed = drawn.filter(F.col("n") > 1).select("pair_id", "i", shifted.alias("j"))
+    first = ids.select(F.col("number").alias("i"), F.col("id").alias("first"))
+    second = ids.select(F.col("number").alias("j"), F.col("id").alias("second"))
+    return placed.join(first, "i").join(second, "j").select("pair_id", F.col("first").alias("i"), F.col("second").alias("j"))
 
 
 def closest_and_farthest(

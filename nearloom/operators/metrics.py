@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearloom.operators.skew import HOT_KEYS, HOT_ROWS, hot_keys, salted_join
+from nearloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 from nearloom.session import bucket_count, cut_lineage
 
 # Relative rank error of percentile_approx is 1 / SKETCH_ACCURACY.
@@ -53,11 +53,10 @@ def order_statistics(df: DataFrame, group_cols: list[str], value_col: str, posit
 
     A group may be far too large to sort in one task. A sketch brackets every wanted position, one
     pass counts the rows below the bracket, and only the rows inside it, some 1/1000 of the
-    group, are ranked, equal values already merged into one row with a count.
+    group, are ranked, equal values already merged into one row with a count. Null group keys are
+    groups; callers join them by a key that is not null, such as a struct. A position that the
+    bracket misses is an error.
     """
-    if not group_cols:
-        whole = df.withColumn("_all", F.lit(0))
-        return order_statistics(whole, ["_all"], value_col, positions).drop("_all")
     values = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).filter("v is not null")
     slack = 4.0 / SKETCH_ACCURACY
     brackets = []
@@ -81,8 +80,6 @@ def order_statistics(df: DataFrame, group_cols: list[str], value_col: str, posit
     hot = (
         sketched.filter(F.col("n") > HOT_ROWS)
         .select(*group_cols, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("pieces"))
-        .orderBy(F.col("pieces").desc(), *group_cols)
-        .limit(HOT_KEYS)
     )
     bounded = salted_join(values, ranges, group_cols, "v", hot)
     below = bounded.groupBy(*group_cols).agg(
@@ -102,27 +99,44 @@ def order_statistics(df: DataFrame, group_cols: list[str], value_col: str, posit
     hit = ranked.withColumn("from", offset + F.col("end") - F.col("copies")).filter(
         (F.col("index") >= F.col("from")) & (F.col("index") < F.col("from") + F.col("copies"))
     )
-    return hit.groupBy(*group_cols).agg(
+    found = hit.groupBy(*group_cols).agg(
         *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in positions]
     )
+    missed = F.raise_error(F.lit("the sketch missed a position"))
+    return ranges.select(*group_cols).join(found, group_cols, "left").select(
+        *group_cols, *[F.coalesce(name, missed.cast("double")).alias(name) for name in positions]
+    )
 
 
 def latency_stats(df: DataFrame, group_cols: list[str], value_col: str) -> DataFrame:
     """``n, mean, qps, p50, p99`` per group, values in microseconds.
 
-    p50 is the value at index n/2 of the sorted values, p99 at min(floor(0.99 n), n - 1).
+    p50 is the value at index n/2 of the sorted values, p99 at min(floor(0.99 n), n - 1). Null
+    values are left out. A null group key is a group; a group without values, and an empty table if
+    there are no group columns, has zeros.
     """
+    # A struct is never null itself, so that null keys meet in the joins below.
+    keyed = df.select(F.struct(F.lit(0).alias("_"), *group_cols).alias("_g"), F.col(value_col).cast("double").alias("_v"))
     n = F.col("n")
     positions = {
         "p50": (0.5, F.floor(n / 2)),
         "p99": (0.99, F.least(F.floor(F.lit(0.99) * n), n - 1)),
     }
-    means = df.filter(F.col(value_col).isNotNull()).groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value_col).alias("mean")
+    means = keyed.groupBy("_g").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
+    if not group_cols:
+        one = df.sparkSession.range(1).select(F.struct(F.lit(0).alias("_")).alias("_g"))
+        means = one.join(means, "_g", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = order_statistics(keyed, ["_g"], "_v", positions)
+    joined = means.join(order, "_g", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return joined.select(
+        *[F.col("_g")[c].alias(c) for c in group_cols],
+        "n",
+        zero(F.col("mean")).alias("mean"),
+        zero(F.try_divide(F.lit(1e6), F.col("mean"))).alias("qps"),
+        zero(F.col("p50")).alias("p50"),
+        zero(F.col("p99")).alias("p99"),
     )
-    order = order_statistics(df, group_cols, value_col, positions)
-    joined = means.join(order, group_cols)
-    return joined.select(*group_cols, "n", "mean", (F.lit(1e6) / F.col("mean")).alias("qps"), "p50", "p99")
 
 
 def mean(col) -> Column:

@@ -15,7 +15,8 @@ from nearloom.operators.skew import HOT_ROWS, split_join
 from nearloom.params import CodeParams, GraphParams, SearchParams
 from nearloom.session import bucket_count, cut_lineage, write_bucketed
 
-MAX_ENTRIES = 100
+# Entries carried to a query in one row.
+ENTRY_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -106,21 +107,27 @@ def beam_search(
     # Both sides are read in every round; a lost executor reads its part from the tables again.
     query_side, hops = query_side.persist(), hops.persist()
 
-    # At most MAX_ENTRIES rows, carried to all queries as one array.
-    starts = entries.dropDuplicates(["node"]).select("node", *code_columns).limit(MAX_ENTRIES)
-    start_array = starts.agg(F.collect_list(F.struct("node", *code_names))).scalar()
-    begun = query_side.withColumn("s", start_array).withColumn("s", F.explode("s")).select(*query_side.columns, "s.*")
+    # Every query begins at every entry; entries come in arrays of bounded size.
+    starts = cut_lineage(entries.dropDuplicates(["node"]).select("node", *code_columns))
+    parts = max(1, -(-starts.count() // ENTRY_ROWS))
+    part = F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part")
+    arrays = starts.groupBy(part).agg(F.collect_list(F.struct("node", *code_names)).alias("s"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    begun = query_side.withColumn("part", every).join(arrays, "part").withColumn("s", F.explode("s")).select(*query_side.columns, "s.*")
     first = begun.select("query_id", "node", score.alias("dist"), F.lit(False).alias("expanded"))
     state = cut_lineage(_keep_best(first.repartition(buckets, "query_id"), params))
 
     once = Window.partitionBy("query_id", "node").orderBy("fresh")
-    finished = []
-    for _ in range(params.max_iter):
+    finished, rounds = [], 0
+    while True:
         finished.append(state.filter(~F.col("open")))
         active = state.filter("open")
         open_rows = active.count()
         if open_rows == 0:
             break
+        rounds += 1
+        if rounds > params.max_iter:
+            raise RuntimeError(f"beams are not finished after max_iter={params.max_iter} rounds")
         picks = active.filter("picked").select("query_id", F.col("node").alias("src"))
         # With no more rows than a hot key has, no node can be hot.
         met = picks.join(hops, "src") if open_rows <= hot_rows else split_join(picks, hops, ["src"], hot_rows)
@@ -137,8 +144,6 @@ def beam_search(
             "query_id", "node", F.coalesce("dist", score).alias("dist"), "expanded"
         )
         state = cut_lineage(_keep_best(scored.repartition(buckets, "query_id"), params))
-    else:
-        finished.append(state)
     query_side.unpersist()
     hops.unpersist()
     final = reduce(DataFrame.unionByName, finished)

@@ -12,23 +12,18 @@ from pyspark.sql import functions as F
 
 # A key is hot above this many rows.
 HOT_ROWS = 200_000
-# The heaviest hot keys get special treatment. A key beyond these holds less than 1/1000 of all
-# rows and takes the ordinary way of the join.
-HOT_KEYS = 1000
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the number of pieces to split them into.
 
-    Counts are combined before the shuffle. The result has at most ``HOT_KEYS`` rows, which is
-    what makes it safe to broadcast.
+    Counts are combined before the shuffle. Every such key is named, at most one for each
+    ``hot_rows`` rows of ``df``; joins with them leave it to the planner whether to broadcast.
     """
     return (
         df.groupBy(*keys)
         .count()
         .filter(F.col("count") > hot_rows)
-        .orderBy(F.col("count").desc(), *keys)
-        .limit(HOT_KEYS)
         .select(*keys, F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("pieces"))
     )
 
@@ -37,21 +32,21 @@ def salted_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
-    spread: str,
+    spread: str | list[str],
     hot: DataFrame,
     how: str = "inner",
 ) -> DataFrame:
-    """Equi-join that spreads the ``hot`` keys of ``left`` by a hash of ``spread``.
+    """Equi-join that spreads the ``hot`` keys of ``left`` by a hash of the columns ``spread``.
 
     The right side's rows of a hot key are repeated once per piece; all other rows are sent once.
-    The result equals the plain join. ``hot`` is ``keys, pieces`` with at most ``HOT_KEYS`` rows.
+    The result equals the plain join. ``hot`` is ``keys, pieces``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    hot = F.broadcast(hot)
+    spread = [spread] if isinstance(spread, str) else spread
     pieces = F.coalesce("pieces", F.lit(1))
     salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(spread), pieces).cast("int")
+        "_salt", F.pmod(F.xxhash64(*spread), pieces).cast("int")
     ).drop("pieces")
     salted_right = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), pieces - 1))
@@ -65,10 +60,10 @@ def split_join(
     """Inner equi-join that leaves ``right`` where it lies.
 
     For a ``right`` that is bucketed by the keys and holds a bounded number of rows per key. Hot
-    keys of ``left`` meet a broadcast of their few right rows without any shuffle; all other rows
-    are shuffled to the buckets. The result equals the plain join.
+    keys of ``left`` meet copies of their few right rows in pieces; all other rows are shuffled
+    to the buckets. The result equals the plain join.
     """
-    hot = F.broadcast(hot_keys(left, keys, hot_rows).drop("pieces"))
-    hot_right = F.broadcast(right.join(hot, keys, "left_semi"))
+    hot = hot_keys(left, keys, hot_rows)
     cold = left.join(hot, keys, "left_anti").join(right, keys)
-    return cold.unionByName(left.join(hot, keys, "left_semi").join(hot_right, keys))
+    hot_left, hot_right = (side.join(hot, keys, "left_semi") for side in (left, right))
+    return cold.unionByName(salted_join(hot_left, hot_right, keys, left.columns, hot))

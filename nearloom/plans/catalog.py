@@ -73,13 +73,7 @@ def line_vectors(spark: SparkSession, folder: str) -> DataFrame:
     measures = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     vec = F.array(*[F.col(c).cast("float") for c in measures]).alias("vec")
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", vec)
-    return spread(lines, "l_orderkey")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table that lies in fewer files than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return lines
 
 
 def hits(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -320,6 +314,15 @@ def sample_pairs(spark, folder):
     return knn.sample_pairs(embeddings(spark, folder))
 
 
+@registered
+def pairs_sparse_ids(spark, folder):
+    """Pairs over ids with gaps, and whether both ends are vectors."""
+    ids = embeddings(spark, folder).filter("vec_id % 3 <> 1").select((F.col("vec_id") * 10 + 3).alias("vec_id"))
+    known = lambda c: ids.select(F.col("vec_id").alias(c))
+    drawn = knn.sample_pairs(ids, per_vector=5)
+    return drawn.join(known("i"), "i").join(known("j"), "j").select("pair_id", "i", "j")
+
+
 # ---- k-NN joins -----------------------------------------------------------------------------
 
 
@@ -382,6 +385,14 @@ def rerank_topk(spark, folder):
     return hits(knn.rerank(code_ranks(spark, folder, 50), as_queries(e), e, K, "cosine"))
 
 
+@registered
+def rerank_missing_vectors(spark, folder):
+    """Candidates and queries without a vector are not ranked."""
+    e = embeddings(spark, folder)
+    without = lambda n: e.withColumn("embedding", F.when(F.col("vec_id") % n != 0, F.col("embedding")))
+    return hits(knn.rerank(code_ranks(spark, folder, 50), as_queries(without(11)), without(7), K, "cosine"))
+
+
 @registered
 def lsh_multiprobe_join(spark, folder):
     e = embeddings(spark, folder)
@@ -690,6 +701,17 @@ def latency_stats(spark, folder):
     return out.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("qps", 4).alias("qps"), "p50", "p99")
 
 
+@registered
+def latency_overall(spark, folder):
+    """One group without a key, and a null key beside others."""
+    events = table(spark, folder, "events")
+    digits = lambda df: df.select("scope", "n", F.round("mean", 6).alias("mean"), F.round("qps", 4).alias("qps"), "p50", "p99")
+    whole = metrics.latency_stats(events, [], "value").withColumn("scope", F.lit("all"))
+    none = metrics.latency_stats(events.filter("value < -1e18"), [], "value").withColumn("scope", F.lit("none"))
+    keyed = events.withColumn("scope", F.when(F.col("event_type") > "m", F.col("event_type")))
+    return digits(whole).unionByName(digits(none)).unionByName(digits(metrics.latency_stats(keyed, ["scope"], "value")))
+
+
 @registered
 def value_moments(spark, folder):
     e = table(spark, folder, "events")

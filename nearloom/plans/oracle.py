@@ -280,6 +280,11 @@ def build() -> dict[str, str]:
         select="SELECT estimator, count(*) AS num_pairs, round(corr(score, truth), 6) AS pearson_r, round(regr_r2(truth, score), 6) AS r_squared, round(min(truth), 5) AS min_truth, round(max(truth), 5) AS max_truth, round(min(score), 3) AS min_score, round(max(score), 3) AS max_score FROM l GROUP BY estimator",
     )
     out["calibration"] = with_(*PAIR_CODES, CAL, select="SELECT round(alpha, 9) AS alpha, round(beta, 6) AS beta, round(r2, 6) AS r_squared, n AS num_samples FROM cal")
+    out["pairs_sparse_ids"] = with_(
+        "e AS (SELECT vec_id * 10 + 3 AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE vec_id % 3 <> 1)",
+        "numbered AS (SELECT pos * 5 + p AS pair_id, (SELECT count(*) FROM e) AS n FROM e, range(5) t(p))", *PAIRS[1:],
+        select="SELECT pair_id, a.id AS i, b.id AS j FROM pairs JOIN e a ON a.pos = pairs.i JOIN e b ON b.pos = pairs.j",
+    )
     out["sample_pairs"] = with_(EMB, *PAIRS, select="SELECT pair_id, i, j FROM pairs")
 
     out["exact_knn_cosine"] = knn(COS, 6)
@@ -298,6 +303,12 @@ def build() -> dict[str, str]:
         EMB, hadamard(64), *SIGN, *RESID, comb, ranked("sc", c.K), "n AS (SELECT vec_id, sqrt(list_dot_product(v, v)) AS q FROM e)",
         select=f"SELECT query_id, top.vec_id, rank, dist AS combined, round(2.0 * n.q * (SELECT avg(q) FROM n) / {eff}.0 * dist, 5) AS estimate FROM top JOIN n ON n.vec_id = query_id",
     )
+    out["rerank_missing_vectors"] = with_(
+        *CODE_TOP, ranked("p_sc", 50, "cands"),
+        f"exact AS (SELECT k.query_id, k.vec_id, {COS} AS dist FROM cands k JOIN e a ON a.vec_id = k.query_id JOIN e b ON b.vec_id = k.vec_id "
+        "WHERE k.query_id % 11 <> 0 AND k.vec_id % 7 <> 0)",
+        ranked("exact", c.K), select=hits(),
+    )
     out["rerank_topk"] = with_(
         *CODE_TOP, ranked("p_sc", 50, "cands"),
         f"exact AS (SELECT k.query_id, k.vec_id, {COS} AS dist FROM cands k JOIN e a ON a.vec_id = k.query_id JOIN e b ON b.vec_id = k.vec_id)",
@@ -379,6 +390,17 @@ def build() -> dict[str, str]:
     out["recall_sweep"] = with_(*SWEEP, select="SELECT ef, round(recall, 6) AS recall FROM shares")
     out["recall_monotone_audit"] = with_(*SWEEP, select="SELECT 'component_codes' AS system, ef, round(recall, 6) AS recall, round(previous, 6) AS previous, coalesce(recall < previous - 0.01, false) AS dropped FROM (SELECT ef, recall, lag(recall) OVER (ORDER BY ef) AS previous FROM shares)")
     out["latency_stats"] = with_(*LATENCY, select="SELECT event_type, n, round(mean, 6) AS mean, round(1e6 / mean, 4) AS qps, p50, p99 FROM stats")
+    stats_of = (
+        "SELECT {0} AS scope, count(*) AS n, coalesce(round(avg(value), 6), 0) AS mean, coalesce(round(1e6 / avg(value), 4), 0) AS qps, "
+        "coalesce(max(CASE WHEN pos = n // 2 THEN value END), 0) AS p50, "
+        "coalesce(max(CASE WHEN pos = least(floor(0.99::DOUBLE * n)::BIGINT, n - 1) THEN value END), 0) AS p99 FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY {0}) AS n FROM events WHERE {1})"
+    )
+    kind = "CASE WHEN event_type > 'm' THEN event_type END"
+    out["latency_overall"] = " UNION ALL ".join(
+        [stats_of.format("'all'", "value IS NOT NULL"), stats_of.format("'none'", "false").replace("SELECT 'none' AS scope, count(*)", "SELECT 'none' AS scope, count(value)"),
+         stats_of.format(kind, "value IS NOT NULL") + f" GROUP BY {kind}"]
+    )
     out["value_moments"] = "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev, 0.0::DOUBLE AS mean_of_none, 0.0::DOUBLE AS stddev_of_none FROM events GROUP BY event_type"
     out["price_correlation"] = "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS pearson_r, round(regr_r2(l_extendedprice, l_quantity), 6) AS r_squared, 0.0::DOUBLE AS flat_r FROM lineitem GROUP BY l_returnflag"
     out["result_audit"] = with_(EMB, select=f"SELECT count(*) * {c.K} AS num_rows, 0::BIGINT AS unordered, 0::BIGINT AS nans, 0::BIGINT AS duplicates FROM e")

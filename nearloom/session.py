@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str | int = "*", app: str = "nearloom", memory: str | None = None) -> SparkSession:
@@ -57,12 +58,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def bucket_count(spark: SparkSession, rows: int | None = None) -> int:
-    """Partitions for ``rows`` small rows: all cores for little data, the session's setting at most."""
-    most = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Partitions for ``rows`` small rows: all cores for little data, 100,000 rows each for much."""
     if rows is None:
-        return most
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     cores = min(spark.sparkContext.defaultParallelism, -(-rows // 250))
-    return max(1, min(most, max(cores, -(-rows // 100_000))))
+    return max(1, cores, -(-rows // 100_000))
+
+
+def number_rows(df: DataFrame, column: str, number: str = "number") -> DataFrame:
+    """Distinct non-null values of a column with their place in ascending order, from 0.
+
+    The sort is a range shuffle, places are counted within its partitions and shifted by the
+    sums of the partitions before: no task sees all rows.
+    """
+    ordered = df.select(column).filter(F.col(column).isNotNull()).distinct().sort(column)
+    placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(starts, "_part").select(column, (F.col("_start") + place).alias(number))
 
 
 def write_bucketed(df: DataFrame, key: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
