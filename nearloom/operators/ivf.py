@@ -19,6 +19,8 @@ from nearloom.operators.lsh import keyed_topk
 
 # Centroids travel to every task: nlist x dim doubles.
 MAX_CELLS = 1 << 16
+# Scores of vectors against cells held at a time.
+SCORES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -75,13 +77,17 @@ def assign(rows: DataFrame, model: IvfModel, nprobe: int) -> DataFrame:
     centroids = model.centroids
     nprobe = min(nprobe, len(centroids))
     half = 0.5 * (centroids**2).sum(axis=1)
+    chunk = max(1, min(ROW_CHUNK, SCORES // len(centroids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, ROW_CHUNK):
-                part = batch.slice(s, ROW_CHUNK)
+            for s in range(0, batch.num_rows, chunk):
+                part = batch.slice(s, chunk)
                 x = list_matrix(part.column("vec"))
-                cells = np.argsort(half - x @ centroids.T, axis=1, kind="stable")[:, :nprobe]
+                scores = half - x @ centroids.T
+                near = np.sort(np.argpartition(scores, nprobe - 1, axis=1)[:, :nprobe], axis=1)
+                order = np.argsort(np.take_along_axis(scores, near, axis=1), axis=1, kind="stable")
+                cells = np.take_along_axis(near, order, axis=1)
                 rows_of = np.repeat(np.arange(len(x)), nprobe)
                 flat = cells.reshape(-1)
                 yield pa.RecordBatch.from_arrays(

@@ -169,9 +169,9 @@ def keyed_topk(
         base.groupBy(*keys).count().filter(F.col("count") > cell_base_rows)
         .select(*keys, F.lit(1).alias("qn"), F.ceil(F.col("count") / cell_base_rows).cast("int").alias("bn"))
     )
-    # At most rows / cell_rows keys can exceed a cell, so the table of splits stays small.
+    # At most rows / cell_rows keys can exceed a cell; the planner decides how to join them.
     split = q_split.unionByName(b_split).groupBy(*keys).agg(F.max("qn").alias("qn"), F.max("bn").alias("bn"))
-    return _cells_topk(queries, base, keys, F.broadcast(split), score, k, exclude_self)
+    return _cells_topk(queries, base, keys, split, score, k, exclude_self)
 
 
 def _cells_topk(queries: DataFrame, base: DataFrame, keys: list[str], split: DataFrame | None, score, k: int, exclude_self: bool) -> DataFrame:

@@ -296,23 +296,25 @@ def speedup(runs: DataFrame, by: str = "threads", value: str = "build_time_s") -
     return runs.withColumn("speedup", gain).withColumn("efficiency", gain * least / F.col(by))
 
 
-def pareto_front(rows: DataFrame, system: str = "system", recall: str = "recall", qps: str = "qps", splits: int | None = None) -> DataFrame:
+def pareto_front(rows: DataFrame, system: str = "system", recall: str = "recall", qps: str = "qps") -> DataFrame:
     """Rows no other row of the system beats in both recall and speed.
 
-    Every split first drops what it can prove beaten, so that only local fronts meet in the
-    final comparison, however many rows one system has.
+    Rows are range-sorted by system and falling speed. The best recall before a row is the best of the
+    partitions before it, from one row per system and partition, and of the rows before it
+    within its partition: no task sees more of a system than a partition.
     """
-    splits = splits or bucket_count(rows.sparkSession)
     best = rows.groupBy(system, F.col(qps)).agg(F.max(recall).alias(recall))
-
-    def front(df: DataFrame, keys: list) -> DataFrame:
-        faster = Window.partitionBy(*keys).orderBy(F.col(qps).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("_seen", F.max(recall).over(faster)).filter(
-            F.col("_seen").isNull() | (F.col(recall) > F.col("_seen"))
-        ).drop("_seen")
-
-    salted = best.withColumn("_split", F.pmod(F.xxhash64(qps), F.lit(splits)))
-    return front(front(salted, [system, "_split"]).drop("_split"), [system])
+    ordered = best.sort(system, F.col(qps).desc()).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut_lineage(ordered).withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(system, "_part").agg(F.max(recall).alias("_best"))
+    earlier = Window.partitionBy(system).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(system).alias("_system"), F.col("_part").alias("_p"), F.max("_best").over(earlier).alias("_before"))
+    inside = Window.partitionBy("_part", system).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    seen = placed.withColumn("_inside", F.max(recall).over(inside)).join(
+        parts, F.col(system).eqNullSafe(F.col("_system")) & (F.col("_part") == F.col("_p"))
+    )
+    top = F.greatest("_inside", "_before")
+    return seen.filter(top.isNull() | (F.col(recall) > top)).select(*best.columns)
 
 
 def rotation_stats(rotated: DataFrame, col: str = "rotated") -> DataFrame:

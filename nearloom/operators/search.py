@@ -104,8 +104,6 @@ def beam_search(
     code_columns = registry.as_base_columns(metric)
     code_names = [f"b_{c}" for c in registry.METRICS[metric].base_columns]
     hops = edges.select("src", F.col("dst").alias("node"), *registry.as_base_columns(metric, "dst_"))
-    # Both sides are read in every round; a lost executor reads its part from the tables again.
-    query_side, hops = query_side.persist(), hops.persist()
 
     # Every query begins at every entry; entries come in arrays of bounded size.
     starts = cut_lineage(entries.dropDuplicates(["node"]).select("node", *code_columns))
@@ -144,8 +142,6 @@ def beam_search(
             "query_id", "node", F.coalesce("dist", score).alias("dist"), "expanded"
         )
         state = cut_lineage(_keep_best(scored.repartition(buckets, "query_id"), params))
-    query_side.unpersist()
-    hops.unpersist()
     final = reduce(DataFrame.unionByName, finished)
     return knn.top_k(final.select("query_id", "node", "dist"), params.ef, "query_id", ("dist", "node"))
 

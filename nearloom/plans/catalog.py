@@ -27,6 +27,9 @@ COMPONENT_CODE = CodeParams(DIM, bits=16)
 SIGN_CODE = CodeParams(DIM, bits=32)
 RESIDUAL_CODE = CodeParams(DIM, bits=32, residual_bits=16, shift=2)
 LSH_CODE = CodeParams(DIM, bits=8)
+GRAPH_SWEEP_EF = [10, 32]
+PROBE_SWEEP = [1, 2, 4, 8, 16]
+CODE_SWEEP = [16, 32, 64]
 PAIR_HASH_CODE = CodeParams(DIM, bits=8, seed=7)
 GRAPH = GraphParams(m_links=12, max_degree=24, ef_construction=100)
 BEAM = SearchParams(k=K, ef=32, width=8, rerank=False)
@@ -568,7 +571,7 @@ def hub_neighbours(spark, folder):
 def neighbour_codes(spark, folder):
     e = embeddings(spark, folder)
     joined = graph.with_neighbour_codes(neighbours(spark, folder), component_codes(e), ["components"])
-    return joined.select("src", "dst", "rank", F.col("dst_components")[0].alias("first"), F.col("dst_components")[15].alias("last"))
+    return joined.select("src", "dst", "rank", F.array_join("dst_components", ",").alias("code"))
 
 
 @registered
@@ -695,6 +698,46 @@ def recall_monotone_audit(spark, folder):
     return out.select("system", "ef", F.round("recall", 6).alias("recall"), F.round("previous", 6).alias("previous"), "dropped")
 
 
+def recall_of(tagged: DataFrame, spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """``name, recall`` of results with a whole number ``name`` as their configuration."""
+    shares = metrics.recall_by_config(tagged.withColumnRenamed(name, "config"), truth(spark, folder), K)
+    return shares.select(F.col("config").alias(name), F.round("recall", 6).alias("recall"))
+
+
+@registered
+def graph_recall_sweep(spark, folder):
+    """Recall of graph search itself by beam size, without and with exact re-ranking."""
+    e, index, runs = embeddings(spark, folder), code_index(spark, folder), None
+    for ef in GRAPH_SWEEP_EF:
+        for exact in (0, 1):
+            params = SearchParams(k=K, ef=ef, width=8, rerank=bool(exact), rerank_k=ef)
+            found = search.ann_search(as_queries(e), index, params).withColumn("setting", F.lit(2 * ef + exact))
+            runs = found if runs is None else runs.unionByName(found)
+    shares = recall_of(runs, spark, folder, "setting")
+    return shares.select(F.floor(F.col("setting") / 2).cast("int").alias("ef"), (F.col("setting") % 2).alias("reranked"), "recall")
+
+
+@registered
+def multiprobe_recall_sweep(spark, folder):
+    """Recall of the bucket join by the number of buckets a query visits in each table."""
+    e, runs = embeddings(spark, folder), None
+    for n in PROBE_SWEEP:
+        found = lsh.multiprobe_knn(as_queries(e), e, LSH_CODE, K, num_probes=n).withColumn("num_probes", F.lit(n))
+        runs = found if runs is None else runs.unionByName(found)
+    return recall_of(runs, spark, folder, "num_probes")
+
+
+@registered
+def code_length_sweep(spark, folder):
+    """Recall of the code join by the number of rotations."""
+    e, runs = embeddings(spark, folder), None
+    for bits in CODE_SWEEP:
+        params = CodeParams(DIM, bits=bits)
+        found = knn.asymmetric_knn(as_queries(e), component_codes(e, params), params, K).withColumn("bits", F.lit(bits))
+        runs = found if runs is None else runs.unionByName(found)
+    return recall_of(runs, spark, folder, "bits")
+
+
 @registered
 def latency_stats(spark, folder):
     out = metrics.latency_stats(table(spark, folder, "events"), ["event_type"], "value")
@@ -890,7 +933,8 @@ def vecs_dataset(spark: SparkSession, folder: str) -> datasets.VectorDataset:
 @registered
 def fvecs_scan(spark, folder):
     base = vecs_dataset(spark, folder).base
-    return base.select("vec_id", F.size("embedding").alias("dim"), F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"))
+    digest = F.md5(F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("bigint")), ",").cast("binary"))
+    return base.select("vec_id", F.size("embedding").alias("dim"), F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"), digest.alias("digest"))
 
 
 @registered

@@ -352,7 +352,8 @@ def build() -> dict[str, str]:
     out["hub_neighbours"] = with_(*NEAR, select=f"SELECT src, dst, round(dist, 6) AS dist FROM edges WHERE src IN (SELECT dst FROM edges GROUP BY dst HAVING count(*) > {c.KNN_K + 4})")
     out["neighbour_codes"] = with_(
         *NEAR, *COMP,
-        select="SELECT g.src, g.dst, g.rank, f.comp::INTEGER AS first, l.comp::INTEGER AS last FROM edges g JOIN p_cp f ON f.vec_id = g.dst AND f.r = 0 JOIN p_cp l ON l.vec_id = g.dst AND l.r = 15",
+        "whole AS (SELECT vec_id, string_agg(comp::INTEGER, ',' ORDER BY r) AS code FROM p_cp GROUP BY vec_id)",
+        select="SELECT g.src, g.dst, g.rank, w.code FROM edges g JOIN whole w ON w.vec_id = g.dst",
     )
     out["graph_stats"] = with_(
         *CODE_GRAPH, "deg AS (SELECT e.vec_id, count(g.src) AS d FROM e LEFT JOIN graph g ON g.src = e.vec_id GROUP BY 1)",
@@ -387,6 +388,37 @@ def build() -> dict[str, str]:
         *CODE_TOP, ranked("p_sc", max(c.DEPTHS), "got"), *TRUTH,
         select=f"SELECT depth, round(avg(CASE WHEN g.rank <= depth THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS containment FROM (SELECT unnest({c.DEPTHS})::INTEGER AS depth), truth t LEFT JOIN got g USING (query_id, vec_id) GROUP BY depth",
     )
+    def recall_by(name: str, got: str) -> str:
+        return (
+            f"SELECT {name}, round(sum(CASE WHEN t.vec_id IS NULL THEN 0 ELSE 1 END) / ({c.K}.0::DOUBLE * (SELECT count(*) FROM e)), 6) AS recall "
+            f"FROM {got} LEFT JOIN truth t USING (query_id, vec_id) GROUP BY {name}"
+        )
+
+    runs, ctes = [], []
+    for ef in c.GRAPH_SWEEP_EF:
+        params = c.SearchParams(k=c.K, ef=ef, width=8, rerank=False)
+        ctes += [x.replace("beam", f"beam{ef}").replace("final", f"final{ef}") for x in beams(params)]
+        ctes.append(f"near{ef} AS (SELECT f.query_id, f.vec_id, {COS} AS dist FROM final{ef} f JOIN e a ON a.vec_id = f.query_id JOIN e b ON b.vec_id = f.vec_id)")
+        ctes.append(ranked(f"near{ef}", c.K, f"exact{ef}"))
+        runs += [f"SELECT {ef}::INTEGER AS ef, 0 AS reranked, query_id, vec_id FROM final{ef} WHERE rank <= {c.K}", f"SELECT {ef}, 1, query_id, vec_id FROM exact{ef}"]
+    out["graph_recall_sweep"] = with_(
+        *CODE_GRAPH, *ctes, *TRUTH, "runs AS (" + " UNION ALL ".join(runs) + ")", select=recall_by("ef, reranked", "runs"), recursive=True
+    )
+    out["multiprobe_recall_sweep"] = with_(
+        EMB, hadamard(64), *coded("p", c.LSH_CODE.bits, c.LSH_CODE.seed), probes("p", max(c.PROBE_SWEEP)),
+        "met AS (SELECT q.query_id, b.vec_id, min(q.pos) AS pos FROM p_pr q JOIN p_cp b ON q.r = b.r AND q.comp = b.comp GROUP BY 1, 2)",
+        f"exact AS (SELECT k.query_id, k.vec_id, k.pos, {COS} AS dist FROM met k JOIN e a ON a.vec_id = k.query_id JOIN e b ON b.vec_id = k.vec_id)",
+        f"runs AS (SELECT num_probes, query_id, vec_id FROM exact, (SELECT unnest({c.PROBE_SWEEP})::INTEGER AS num_probes) WHERE pos <= num_probes "
+        f"QUALIFY row_number() OVER (PARTITION BY num_probes, query_id ORDER BY dist, vec_id) <= {c.K})",
+        *TRUTH, select=recall_by("num_probes", "runs"),
+    )
+    lengths, ctes = [], []
+    for bits in c.CODE_SWEEP:
+        ctes += [*coded(f"k{bits}", bits, c.CodeParams(c.DIM, bits=bits).seed), all_scores(f"k{bits}"), ranked(f"k{bits}_sc", c.K, f"k{bits}_top")]
+        lengths.append(f"SELECT {bits}::INTEGER AS bits, query_id, vec_id FROM k{bits}_top")
+    out["code_length_sweep"] = with_(
+        EMB, hadamard(64), *ctes, *TRUTH, "runs AS (" + " UNION ALL ".join(lengths) + ")", select=recall_by("bits", "runs")
+    )
     out["recall_sweep"] = with_(*SWEEP, select="SELECT ef, round(recall, 6) AS recall FROM shares")
     out["recall_monotone_audit"] = with_(*SWEEP, select="SELECT 'component_codes' AS system, ef, round(recall, 6) AS recall, round(previous, 6) AS previous, coalesce(recall < previous - 0.01, false) AS dropped FROM (SELECT ef, recall, lag(recall) OVER (ORDER BY ef) AS previous FROM shares)")
     out["latency_stats"] = with_(*LATENCY, select="SELECT event_type, n, round(mean, 6) AS mean, round(1e6 / mean, 4) AS qps, p50, p99 FROM stats")
@@ -439,7 +471,7 @@ def build() -> dict[str, str]:
         select="SELECT 'ours' AS system, event_type AS config, n::INTEGER AS ef_search, round(p50 / p99, 6) AS recall_10, round(1e6 / mean, 4) AS qps, round(mean, 6) AS latency_mean_us, p50 AS latency_p50_us, p99 AS latency_p99_us FROM stats "
         "UNION ALL SELECT 'external', o_orderstatus, count(*)::INTEGER, 1.0::DOUBLE, round(1e6 / avg(o_totalprice), 4), round(avg(o_totalprice), 3), NULL, NULL FROM orders GROUP BY o_orderstatus",
     )
-    out["fvecs_scan"] = "SELECT vec_id, len(embedding)::INTEGER AS dim, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last FROM embeddings"
+    out["fvecs_scan"] = "SELECT vec_id, len(embedding)::INTEGER AS dim, embedding[1]::DOUBLE AS first, embedding[64]::DOUBLE AS last, md5(array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',')) AS digest FROM embeddings"
     out["ivecs_truth"] = with_(EMB, *TRUTH, select="SELECT query_id, rank, vec_id FROM truth")
     out["limited_base_truth"] = with_(EMB, all_pairs(COS), "half AS (SELECT * FROM sc WHERE vec_id < (SELECT count(*) // 2 FROM e))", ranked("half", c.K), select="SELECT query_id, rank, vec_id FROM top")
     cell_of = "0.5::DOUBLE * list_dot_product(c.m, c.m) - list_dot_product(e.v, c.m)"

@@ -97,7 +97,7 @@ def test_pareto_front_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [("s" if i % 3 else "t", float(a), float(b)) for i, (a, b) in enumerate(rng.integers(0, 40, (300, 2)))]
     df = spark.createDataFrame(rows, "system string, recall double, qps double")
-    got = sorted((r.system, r.recall, r.qps) for r in metrics.pareto_front(df, splits=5).collect())
+    got = sorted((r.system, r.recall, r.qps) for r in metrics.pareto_front(df.repartition(5)).collect())
     want = sorted({p for p in rows if not any(
         o[0] == p[0] and o[1] >= p[1] and o[2] >= p[2] and (o[1] > p[1] or o[2] > p[2]) for o in rows)})
     assert got == want
