@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -10,7 +12,8 @@ QUICK = [
     "avg_norm", "cp_components", "sign_codes", "residual_codes", "query_scale", "exact_knn_cosine", "exact_knn_l2",
     "asymmetric_knn", "combined_hamming_knn", "rerank_topk", "lsh_pair_hash_join", "detour_pruned_edges",
     "rank_pruned_graph", "graph_build_codes", "ann_search", "recall_sweep", "latency_stats", "calibration",
-    "pareto_front", "ivf_label_product_codes", "fvecs_scan", "stream_index_growth",
+    "pareto_front", "rerank_missing_vectors", "latency_overall", "pairs_sparse_ids", "multiprobe_recall_sweep",
+    "code_length_sweep", "ivf_label_product_codes", "fvecs_scan", "stream_index_growth",
 ]
 
 
@@ -23,7 +26,8 @@ def db():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == NO_TWIN
+    own = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}
+    assert own - set(entry.oracle_sql()) == NO_TWIN
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
