@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,12 @@ def root_parts(rows: int, least: int = 256) -> int:
     return max(1, math.ceil(rows / max(least, math.isqrt(max(rows, 1)))))
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back, since its Python worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def write_shared(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: compressed, and read again after a loss."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

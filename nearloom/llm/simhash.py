@@ -10,14 +10,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearloom.llm.common import words_of
+from nearloom.llm.common import release, words_of
 from nearloom.llm.components import connected_components
 from nearloom.session import cut_lineage
 
 SEED = 42
 BITS = 64
 # Bits by which a node pair is extended in one round of the trie join.
-STRIDE = 8
+STRIDE = 4
+# Fingerprints of a node that a task may hold, and pairs of fingerprints compared without going on.
+NODE_ROWS = 2048
+SMALL = 16
 # Shingles hashed at a time, which bounds the memory a very long text takes.
 CHUNK = 1 << 18
 
@@ -56,6 +59,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             values = [simhash(t.as_py(), width) for t in batch.column(1)]
             found = pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[key, "fingerprint"])
+        release()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, fingerprint bigint")
@@ -66,21 +70,7 @@ def hex_digits(fingerprint: str | Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def _level(prints: DataFrame, depth: int) -> DataFrame:
-    """Trie nodes of a depth: prefix, parent's prefix, and the fingerprint of a node that holds only one."""
-    prefix = F.shiftrightunsigned("fp", BITS - depth)
-    return (
-        prints.groupBy(prefix.alias("node"))
-        .agg(F.count("*").alias("n"), F.min("fp").alias("only"))
-        .select(
-            "node",
-            F.shiftrightunsigned("node", STRIDE).alias("parent") if depth > STRIDE else F.lit(0).cast("long").alias("parent"),
-            F.when(F.col("n") == 1, F.col("only")).alias("only"),
-        )
-    )
-
-
-def _masks(budget: Column, max_bits: int) -> Column:
+def _ways(budget: Column, max_bits: int) -> Column:
     """All ways to differ within the next bits of a pair that may still differ in ``budget`` bits."""
     ways = [F.array(*[F.lit(m).cast("long") for m in range(1 << STRIDE) if m.bit_count() <= b]) for b in range(max_bits + 1)]
     choice = ways[max_bits]
@@ -89,52 +79,120 @@ def _masks(budget: Column, max_bits: int) -> Column:
     return choice
 
 
-def trie_join(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """All pairs ``a < b`` (unsigned) of the distinct fingerprints ``fp`` that differ in at most ``max_bits`` bits.
+def _nodes(prints: DataFrame, depth: int) -> DataFrame:
+    """Trie nodes of a depth: prefix and number of fingerprints."""
+    return prints.groupBy(F.shiftrightunsigned("fp", BITS - depth).alias("node")).agg(F.count("*").alias("n"))
+
+
+def walk_pair(a: np.ndarray, b: np.ndarray, depth: int, used: int, max_bits: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs between the fingerprints of two nodes of a depth, given sorted, whose prefixes differ in ``used`` bits.
+
+    Both subtries are walked together, a bit a round: of the four pairs of children those are kept
+    that are not empty and within the budget. Pairs of nodes with few fingerprints are decided at
+    once. With ``same`` the node is paired with itself and each pair is met once.
+    """
+    one = np.uint64(1)
+    al, ah, bl, bh = (np.array([v]) for v in (0, len(a), 0, len(b)))
+    diff = np.array([used])
+    left, right = [], []
+    for bit in range(BITS - depth - 1, -2, -1):
+        small = (ah - al) * (bh - bl) <= SMALL if bit >= 0 else np.ones(len(al), bool)
+        size = ((ah - al) * (bh - bl))[small]
+        of = np.repeat(np.flatnonzero(small), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        wide = (bh - bl)[of]
+        i, j = al[of] + at // wide, bl[of] + at % wide
+        near = np.bitwise_count(a[i] ^ b[j]) <= max_bits
+        if same:
+            near &= i < j
+        left.append(a[i[near]])
+        right.append(b[j[near]])
+        al, ah, bl, bh, diff = (v[~small] for v in (al, ah, bl, bh, diff))
+        if not len(al):
+            break
+        at_bit = np.uint64(bit)
+        split = lambda x, low: np.searchsorted(x, ((x[low] >> at_bit) | one) << at_bit)
+        am, bm = split(a, al), split(b, bl)
+        own = same & (al == bl) & (ah == bh)
+        al, ah, bl, bh, diff = (
+            np.concatenate(v)
+            for v in (
+                (al, am, al, am[~own]), (am, ah, am, ah[~own]), (bl, bm, bm, bl[~own]), (bm, bh, bh, bm[~own]),
+                (diff, diff, diff + 1, diff[~own] + 1),
+            )
+        )
+        keep = (al < ah) & (bl < bh) & (diff <= max_bits)
+        al, ah, bl, bh, diff = (v[keep] for v in (al, ah, bl, bh, diff))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def trie_join(prints: DataFrame, max_bits: int = 2, node_rows: int = NODE_ROWS) -> DataFrame:
+    """All pairs ``a, b`` of the distinct fingerprints ``fp`` that differ in at most ``max_bits`` bits, each once.
 
-    The binary trie of the fingerprints is walked from its root by node pairs, eight bits a round:
-    a round extends the first node by its children, the second by every child whose bits differ
-    from them within what is left of the error budget, and keeps pairs whose nodes exist. A pair
-    of two nodes that hold one fingerprint each is decided at once; a node with one fingerprint
-    paired with itself is dropped. No pair is compared outside the budget, and every round is two
-    equi-joins on node prefixes, evenly spread since a node takes part in a bounded number of
-    pairs. ``max_bits`` may be 0 to 8.
+    The binary trie of the fingerprints is walked from its root by node pairs. While one of the
+    two nodes holds more than ``node_rows`` fingerprints, a round extends the first by its children
+    four bits below, the second by every child whose bits differ from them within what is left
+    of the error budget, and keeps pairs whose nodes exist. Pairs of nodes small enough meet in a
+    task, which goes on walking to the leaves. A node takes part in a bounded number of pairs, so
+    tasks stay small however fingerprints are spread. ``max_bits`` may be 0 to 4.
     """
     if not 0 <= max_bits <= STRIDE:
         raise ValueError(f"max_bits must be in [0, {STRIDE}]")
     spark = prints.sparkSession
     prints = prints.select("fp")
-    pairs = spark.range(1).select(*[F.lit(0).cast("long").alias(c) for c in ("a", "b")], F.lit(0).alias("diff"))
+    zero = F.lit(0).cast("long")
+    total = prints.count()
+    pairs = spark.range(1).select(zero.alias("a"), zero.alias("b"), F.lit(0).alias("diff"), (F.lit(total) > node_rows).alias("large"))
+    below = F.lit((1 << STRIDE) - 1)
     found = None
-    for depth in range(STRIDE, BITS + 1, STRIDE):
-        nodes = _level(prints, depth)
-        first = nodes.select(F.col("parent").alias("a"), F.col("node").alias("a_next"), F.col("only").alias("a_only"))
-        second = nodes.select(F.col("node").alias("b_next"), F.col("only").alias("b_only"))
-        grown = (
+    for depth in range(0, BITS + 1, STRIDE):
+        links = _meet(prints, pairs.filter(~F.col("large")), depth, max_bits)
+        found = links if found is None else found.unionByName(links)
+        pairs = pairs.filter("large").drop("large")
+        if depth == BITS or pairs.isEmpty():
+            break
+        nodes = _nodes(prints, depth + STRIDE)
+        first = nodes.select(
+            (F.shiftrightunsigned("node", STRIDE) if depth else zero).alias("a"), F.col("node").alias("a_next"), F.col("n").alias("a_n")
+        )
+        second = nodes.select(F.col("node").alias("b_next"), F.col("n").alias("b_n"))
+        mine, other = F.col("a_next").bitwiseAND(below), F.col("b_next").bitwiseAND(below)
+        pairs = cut_lineage(
             pairs.join(first, "a")
-            .withColumn("mask", F.explode(_masks(F.lit(max_bits) - F.col("diff"), max_bits)))
-            .withColumn("b_next", F.shiftleft("b", STRIDE).bitwiseOR(F.col("a_next").bitwiseAND(F.lit(255)).bitwiseXOR(F.col("mask"))))
-            # A node pair of one node yields every pair of its children once.
-            .filter((F.col("a") != F.col("b")) | (F.col("mask") == 0) | (F.col("a_next").bitwiseAND(F.lit(255)) < F.col("b_next").bitwiseAND(F.lit(255))))
+            .withColumn("way", F.explode(_ways(F.lit(max_bits) - F.col("diff"), max_bits)))
+            .withColumn("b_next", F.shiftleft("b", STRIDE).bitwiseOR(mine.bitwiseXOR(F.col("way"))))
+            # A node paired with itself yields every pair of its children once.
+            .filter((F.col("a") != F.col("b")) | (mine <= other))
             .join(second, "b_next")
             .select(
-                F.col("a_next").alias("a"), F.col("b_next").alias("b"),
-                (F.col("diff") + F.bit_count("mask")).cast("int").alias("diff"), "a_only", "b_only",
+                F.col("a_next").alias("a"), F.col("b_next").alias("b"), (F.col("diff") + F.bit_count("way")).cast("int").alias("diff"),
+                # At the leaves every node holds one fingerprint.
+                (F.greatest("a_n", "b_n") > node_rows).alias("large"),
             )
-            .filter((F.col("a") != F.col("b")) | F.col("a_only").isNull())
-        )
-        grown = cut_lineage(grown)
-        single = F.col("a_only").isNotNull() & F.col("b_only").isNotNull()
-        links = grown.filter(single & (F.bit_count(F.col("a_only").bitwiseXOR(F.col("b_only"))) <= max_bits)).select(
-            F.col("a_only").alias("a"), F.col("b_only").alias("b")
         )
-        found = links if found is None else found.unionByName(links)
-        pairs = grown.filter(~single).select("a", "b", "diff")
-        if pairs.isEmpty():
-            break
     return found
 
 
+def _meet(prints: DataFrame, pairs: DataFrame, depth: int, max_bits: int) -> DataFrame:
+    """Links within node pairs of a depth: the fingerprints of both nodes come together in a task."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b, used = (k.as_py() for k in key)
+        values = rows.column("fp").to_numpy().view(np.uint64)
+        second = rows.column("second").to_numpy(zero_copy_only=False)
+        x = np.sort(values[~second])
+        y = x if a == b else np.sort(values[second])
+        i, j = walk_pair(x, y, depth, used, max_bits, a == b) if len(x) and len(y) else (x[:0], x[:0])
+        return pa.table({"a": i.view(np.int64), "b": j.view(np.int64)})
+
+    sides = pairs.select("a", "b", "diff", F.lit(False).alias("second"), F.col("a").alias("node")).unionByName(
+        pairs.filter("a != b").select("a", "b", "diff", F.lit(True).alias("second"), F.col("b").alias("node"))
+    )
+    node = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
+    together = sides.join(prints.withColumn("node", node), "node")
+    return together.groupBy("a", "b", "diff").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 2, width: int = 3
 ) -> DataFrame:
