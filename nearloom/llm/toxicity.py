@@ -11,12 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearloom.llm.common import words_of
+from nearloom.llm.common import release, words_of
 from nearloom.session import cut_lineage
 
 # Bounds of the model: labelled documents to learn from, hashed terms, factors per term.
-SAMPLE = 16_000
-TERMS = 4096
+SAMPLE = 10_000
+TERMS = 3072
 FACTORS = 8
 MIN_DOCS = 5
 # A word counts as itself and as its beginnings of these lengths, which stand for its stem.
@@ -148,15 +148,14 @@ def fit(sample: DataFrame, text: str = "text", label: str = "label", terms: int
     share = F.lit(float(positive) / max(total, 1))
     telling = F.pow(p - n * share, 2) / n
     kept = counts.withColumn("telling", telling).orderBy(F.desc("telling"), "term").limit(terms).select("term")
-    chosen = np.array(sorted(r["term"] for r in kept.collect()), np.int64)
-    labels = docs.select("row", "label").toPandas().sort_values("row")
-    number = {r: i for i, r in enumerate(labels["row"])}
+    chosen = np.sort(kept.toArrow().column(0).to_numpy())
+    labels = docs.select("row", "label").orderBy("row").toArrow()
+    numbers, y = labels.column("row").to_numpy(), labels.column("label").to_numpy().astype(np.float64)
     names = docs.sparkSession.createDataFrame([(int(t), i) for i, t in enumerate(chosen)], "term bigint, number int")
-    pairs = exploded.join(F.broadcast(names), "term").select("row", "number").toPandas()
-    rows = np.array([number[r] for r in pairs["row"]], np.int64)
-    columns = pairs["number"].to_numpy(np.int64)
+    pairs = exploded.join(F.broadcast(names), "term").select("row", "number").toArrow()
+    rows, columns = np.searchsorted(numbers, pairs.column("row").to_numpy()), pairs.column("number").to_numpy()
     order = np.lexsort((columns, rows))
-    return train(chosen, rows[order], columns[order], labels["label"].to_numpy(np.float64), seed=seed)
+    return train(chosen, rows[order], columns[order], y, seed=seed)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:
@@ -171,5 +170,6 @@ def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> D
         scorer = shared.value.scorer()
         for texts in batches:
             yield pa.array(scorer(texts.to_pylist()))
+        release()
 
     return docs.withColumn("score", F.arrow_udf(run, "double")(F.col(text).cast("string")))
