@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearloom.llm.common import release
+
 UNKNOWN = "und"
 # Bounds of the sample the dictionaries are made of.
 SAMPLE_DOCS = 600
@@ -34,10 +36,18 @@ def fit(
     part = F.substring(F.col(text), 1, dict_bytes)
     known = docs.filter(train & F.col(text).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull())
     known = known.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("h"), F.col(key).alias("k"))
-    w = Window.partitionBy("lang").orderBy("h", "k")
-    chosen = known.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= sample_docs)
-    if chosen.select("lang").distinct().count() > MAX_LANGUAGES:
+    counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # Of a frequent language only about four times the wanted rows, those of small hash, are ranked.
+    shares = docs.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, 4 * sample_docs / r["count"])) for r in counts], "lang string, share double"
+    )
+    low = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= F.col("share")
+    by_hash = F.shiftrightunsigned("h", 11)
+    w = Window.partitionBy("lang").orderBy(by_hash, "k")
+    chosen = known.join(F.broadcast(shares), "lang").filter(low)
+    chosen = chosen.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= sample_docs)
     ids = chosen.select(F.col("k").alias(key), F.col("lang").alias("_lang"), "i").distinct()
     texts = docs.select(key, part.alias("part")).join(F.broadcast(ids), key).select("_lang", "i", F.substring("part", 1, dict_bytes // 8).alias("part"))
     found: dict[str, dict[int, str]] = {}
@@ -106,6 +116,7 @@ def identify(
                 [{"lang_pred": a, "score": b, "margin": c} for a, b, c in found],
                 pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64())]),
             )
+        release()
 
     guess = F.arrow_udf(run, "lang_pred string, score double, margin double")
     return docs.withColumn("_guess", guess(F.col(text).cast("string"))).select(

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearloom.llm.common import release
+
 # Bounds of the model: labelled documents to learn from, bins per feature, pairs.
 SAMPLE = 20_000
 BINS = 48
@@ -201,5 +203,6 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text") -> DataFram
         for texts in batches:
             x = np.array([features(t.as_py()) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
             yield pa.array(shared.value.score(x))
+        release()
 
     return docs.withColumn("score", F.arrow_udf(run, "double")(F.col(text).cast("string")))
