@@ -57,6 +57,9 @@ def order_statistics(df: DataFrame, group_cols: list[str], value_col: str, posit
     groups; callers join them by a key that is not null, such as a struct. A position that the
     bracket misses is an error.
     """
+    if not group_cols:
+        whole = df.withColumn("_all", F.lit(0))
+        return order_statistics(whole, ["_all"], value_col, positions).drop("_all")
     values = df.select(*group_cols, F.col(value_col).cast("double").alias("v")).filter("v is not null")
     slack = 4.0 / SKETCH_ACCURACY
     brackets = []
@@ -112,11 +115,11 @@ def latency_stats(df: DataFrame, group_cols: list[str], value_col: str) -> DataF
     """``n, mean, qps, p50, p99`` per group, values in microseconds.
 
     p50 is the value at index n/2 of the sorted values, p99 at min(floor(0.99 n), n - 1). Null
-    values are left out. A null group key is a group; a group without values, and an empty table if
-    there are no group columns, has zeros.
+    values are left out. A null group key is a group; without group columns a table without values
+    has zeros.
     """
     # A struct is never null itself, so that null keys meet in the joins below.
-    keyed = df.select(F.struct(F.lit(0).alias("_"), *group_cols).alias("_g"), F.col(value_col).cast("double").alias("_v"))
+    keyed = df.select(F.struct(F.lit(0).alias("_"), *group_cols).alias("_g"), F.col(value_col).cast("double").alias("_v")).filter("_v is not null")
     n = F.col("n")
     positions = {
         "p50": (0.5, F.floor(n / 2)),
