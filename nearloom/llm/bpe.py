@@ -16,11 +16,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearloom.llm.common import parts_for
+from nearloom.llm.common import parts_for, release
 from nearloom.session import ensure_checkpoint_dir
 
 # Characters of text in a block, whose distinct words go out once.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 20 << 20
 # Distinct words of all blocks that meet in a task.
 WORDS_PER_TASK = 250_000
 # Assembled tokens held as wide integers at a time.
@@ -41,7 +41,7 @@ class Splitter:
     def __init__(self, pattern: str):
         self.match = regex.compile(pattern).findall
         self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _numbers(self, text: str) -> list[int]:
         words = self.words
@@ -60,7 +60,7 @@ class Splitter:
         except KeyError:
             for piece in rest:
                 if piece not in known:
-                    known[piece] = self._numbers(" " + piece)
+                    known[piece] = tuple(self._numbers(" " + piece))
             found = list(map(known.__getitem__, rest))
         return np.array([*self._numbers(first), *chain.from_iterable(found)], np.int32)
 
@@ -73,7 +73,7 @@ def pack(values: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def pack_words(words: list[str]) -> bytes:
@@ -139,6 +139,8 @@ def _blocks(docs: DataFrame, key: str, text: str, pattern: str, tasks: int, buck
                     keys, pieces, size, splitter = [], [], 0, Splitter(pattern)
         if keys:
             yield send()
+        del keys, pieces, splitter
+        release()
 
     shape = f"keys array<{kind}>, lengths array<bigint>, pieces binary, chunks array<struct<task: bigint, words: binary, places: binary>>"
     made = docs.select(key, F.col(text).cast("string").alias(text)).mapInArrow(run, shape)
@@ -194,7 +196,7 @@ def encode(
         keys = block.column("keys")[0].values
         pieces, lengths = unpack(block.column("pieces")[0].as_py()), block.column("lengths")[0].values.to_numpy()
         parts = [[unpack(encoded.column(c)[i].as_py()) for c in ("places", "lengths", "ids")] for i in range(encoded.num_rows)]
-        size = np.zeros(sum(len(p[0]) for p in parts), np.int64)
+        size = np.zeros(sum(len(p[0]) for p in parts), np.int32)
         start, flat, at = np.zeros(len(size), np.int64), [], 0
         for places, n, ids in parts:
             size[places], start[places] = n, at + np.cumsum(n) - n
@@ -206,10 +208,13 @@ def encode(
             mine = pieces[i : i + STEP]
             n = size[mine]
             out.append(flat[np.repeat(start[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        tokens = np.concatenate([[0], np.cumsum(size[pieces])])
-        offsets = tokens[np.concatenate([[0], np.cumsum(lengths)])]
+        tokens = np.cumsum(size[pieces], dtype=np.int32)
+        ends = np.cumsum(lengths)
+        offsets = np.zeros(len(ends) + 1, np.int32)
+        offsets[1:][ends > 0] = tokens[ends[ends > 0] - 1]
         values = np.concatenate(out) if out else np.empty(0, np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+        release()
         return pa.table({key: keys, "ids": lists})
 
     sent = blocks.select(F.col("block").alias("of"), F.explode("chunks").alias("c")).select("of", "c.task", "c.words", "c.places")
@@ -245,5 +250,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", into:
                 first, last = (np.frombuffer(found.buffers()[1], np.int64)[found.offset + i] for i in (0, len(found))) if len(found) else (0, 0)
                 out.append(found.buffers()[2].slice(first, last - first).to_pybytes() if last > first else b"")
             yield pa.array(out, pa.binary())
+        release()
 
     return encoded.withColumn(into, F.arrow_udf(run, "binary")(F.col(ids)))
