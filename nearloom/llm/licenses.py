@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +52,23 @@ def _template_bigrams(content: str) -> list[str]:
     return list(dict.fromkeys(pairs))
 
 
+def telling_words(grams: list[str], threshold: float) -> set[tuple[str, ...]]:
+    """Words, or pairs of words, of a template of which every passage that reaches the threshold holds at least one.
+
+    Such a passage shares at least a share t / (2 - t) of the template's bigrams. Words of four letters and
+    more are taken, the longest first, until the bigrams without any of them are fewer than that;
+    where they do not suffice, so are the longest of the bigrams that are left.
+    """
+    left, found = list(grams), set()
+    least = len(grams) * threshold / (2 - threshold) - 1e-9
+    while left and len(left) >= least:
+        words = {w for g in left for w in g.split() if len(w) >= 4}
+        term = (min(words, key=lambda w: (-len(w), w)),) if words else tuple(max(left, key=len).split())
+        found.add(term)
+        left = [g for g in left if not set(term) <= set(g.split())]
+    return found
+
+
 def passages(text: Column) -> Column:
     """The lines of a text and its paragraphs of several lines, as structs of kind, number (from 0) and content."""
     lines = F.transform(
@@ -71,8 +89,9 @@ def scan(
     A passage is compared with templates over the sets of their word bigrams, 2 |A and B| / (|A| + |B|). That
     can reach the threshold t only if the sizes a, b fulfil a <= b (2 - t) / t and the reverse, so
     a passage meets only the templates listed under its size, by an equi-join with a broadcast list that is
-    bounded by the templates. Passages of no such size, or without any bigram of a template,
-    leave before that. The best template is kept, ties go to the first name.
+    bounded by the templates. Before that, texts and passages leave that hold none of the words of
+    which a passage must have one to share enough bigrams with a template, then passages of
+    no such size or without any bigram of a template. The best template is kept, ties go to the first name.
 
     Null and empty texts have no passages. Repeated rows give repeated results. The whole text is read; texts of
     one very long line are one passage, whose size excludes it. Other columns are not looked at.
@@ -81,14 +100,23 @@ def scan(
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     ratio = (2 - threshold) / threshold
-    by_size, known = [], {}
+    by_size, known, words = [], {}, set()
     for name in sorted(templates):
         grams = _template_bigrams(templates[name])
         known |= dict.fromkeys(grams)
+        words |= telling_words(grams, threshold)
         by_size += [(n, name, grams) for n in range(max(1, math.ceil(len(grams) / ratio - 1e-9)), math.floor(len(grams) * ratio + 1e-9) + 1)]
     sizes = sorted({n for n, _, _ in by_size})
     candidates = spark.createDataFrame(by_size, "size int, license string, template array<string>")
-    found = docs.select(key, F.explode(passages(F.col(text))).alias("p")).select(key, "p.kind", "p.number", normalized(F.col("p.content")).alias("content"))
+
+    def telling(content: Column) -> Column:
+        """Whether a text holds one of the words at all; lower-casing other letters than A-Z hides none."""
+        small = F.lower(content)
+        holds = lambda term: reduce(lambda a, b: a & b, [F.contains(small, F.lit(w)) for w in term])
+        return reduce(lambda a, b: a | b, map(holds, sorted(words)), F.lit(False))
+
+    found = docs.filter(telling(F.col(text))).select(key, F.explode(passages(F.col(text))).alias("p"))
+    found = found.filter(telling(F.col("p.content"))).select(key, "p.kind", "p.number", normalized(F.col("p.content")).alias("content"))
     # A passage of n distinct bigrams has more words than n, and no fewer characters.
     found = found.filter((F.col("content") != "") & (F.length("content") >= sizes[0])) if sizes else found.filter(F.lit(False))
     found = found.withColumn("bigrams", bigrams(F.split("content", " "))).drop("content")
