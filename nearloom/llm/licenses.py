@@ -14,6 +14,7 @@ THRESHOLD = 0.8
 # Public licence notices, by name.
 TEMPLATES = {
     "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "All-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "BSD-style": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",

@@ -57,3 +57,12 @@ def test_plan_is_native(doc_frame, capsys):
     licenses.scan(doc_frame([(1, "x")])).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_planted_notices_of_the_given_documents_are_found(spark):
+    lines = ("All rights reserved.", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.",
+             "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = sorted((r.doc_id, n) for r in docs.collect() for n, x in enumerate((r.text or "").split("\n")) if x in lines)
+    got = {(r.doc_id, r.number) for r in licenses.scan(docs).filter("kind = 'line' and dice = 1").collect()}
+    assert len(want) > 30 and set(want) <= got
