@@ -128,3 +128,26 @@ def test_repeated_rows_and_nothing(spark):
 def test_passes_grow_with_the_table():
     small, large = (vector_dedup.passes_for(n, 0.95, 256, 1e-3) for n in (10**4, 10**9))
     assert 1 <= small < large
+
+
+def _equals_brute_force(spark, x, **settings):
+    got = {r.vec_id: r for r in vector_dedup.near_copies(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]).repartition(40), **settings).collect()}
+    linked = links(x, 0.95)
+    place = components(range(len(x)), linked)
+    assert linked.any()
+    for i in range(len(x)):
+        assert (got[i].n_links, got[i].component_id) == (int(linked[i].sum()), place[i])
+
+
+def test_runs_part_no_pair_of_a_small_table(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(100, 64))
+    x = np.concatenate([x, x + rng.normal(scale=0.3, size=x.shape)]).astype(np.float32)
+    _equals_brute_force(spark, x)
+
+
+def test_group_larger_than_a_run_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "RUN_ROWS", 50)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(1, 16)) + rng.normal(scale=0.05, size=(300, 16))).astype(np.float32)
+    _equals_brute_force(spark, x, window=20)
