@@ -3,7 +3,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from conftest import SF
+from helpers import SF
 
 import __spark_entry__ as entry
 

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import brute
+from helpers import brute
 from pyspark.sql import functions as F
 
 from nearloom.functions.rotations import keyed_rotations

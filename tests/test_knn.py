@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import as_lists, brute
+from helpers import as_lists, brute
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import as_lists, brute
+from helpers import as_lists, brute
 
 from nearloom.functions import vectors as V
 from nearloom.operators import knn

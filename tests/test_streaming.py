@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import as_lists, brute
+from helpers import as_lists, brute
 from pyspark.sql import functions as F
 
 from nearloom.operators import encode, graph, search
