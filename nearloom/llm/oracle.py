@@ -69,7 +69,81 @@ QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, license) = 1
 """
 
 
+OP12 = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(k, ''),
+           lambda c: [(ascii(c) >> b) & 1 for b in [0, 1, 2, 3, 4, 5, 6, 7]]))),
+         lambda s, b: CASE WHEN (xor(s, b) & 1) = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END), 4294967295::BIGINT) % 20 AS kind
+  FROM keyed),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) - 1 AS seat,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+         lag(CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS before,
+         CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial
+  FROM hurt),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault
+  FROM placed),
+turns AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN fault = 'truncated' THEN upper(initial) ELSE initial END AS symbol FROM faulty),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv_id),
+-- Edits before a turn are at most two insertions; a label is the cost in eight digits and the initials.
+inserted(q, r, cost, letters) AS (VALUES
+  (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')),
+edits(symbol, q, r, cost, letter) AS (
+  SELECT s, q, q, 2, 'D' FROM (SELECT unnest(string_split('suaoSUAOd', '')) AS s), (SELECT unnest([0, 1, 2, 3]) AS q)
+  UNION ALL
+  SELECT CASE WHEN cut THEN upper(s) ELSE s END, q, r, CASE WHEN cut THEN 5 ELSE 0 END, 'K'
+  FROM (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('a', 2, 3), ('u', 3, 2)) AS k(s, q, r), (SELECT unnest([true, false]) AS cut)
+  UNION ALL
+  SELECT s, q, r, CASE WHEN s = upper(s) THEN 6 ELSE 1 END, 'R'
+  FROM (SELECT unnest(string_split('suaoSUAO', '')) AS s), (VALUES (0, 2), (1, 2), (2, 3), (3, 2)) AS k(q, r)),
+walk(conv_id, seat, q, label) AS (
+  SELECT conv_id, 0::BIGINT, 0, '00000000' FROM counted
+  UNION ALL
+  SELECT w.conv_id, w.seat + 1, e.r, min(lpad(CAST(CAST(left(w.label, 8) AS INTEGER) + i.cost + e.cost AS VARCHAR), 8, '0') || w.label[9:] || i.letters || e.letter)
+  FROM walk w JOIN turns t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND w.seat = t.seat JOIN inserted i ON i.q = w.q JOIN edits e ON e.symbol = t.symbol AND e.q = i.r
+  GROUP BY w.conv_id, w.seat, e.r),
+best AS (
+  SELECT w.conv_id, min(lpad(CAST(CAST(left(w.label, 8) AS INTEGER) + i.cost AS VARCHAR), 8, '0') || w.label[9:] || i.letters) AS label
+  FROM walk w JOIN counted c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.seat = c.n JOIN inserted i ON i.q = w.q AND i.r IN (0, 3) GROUP BY w.conv_id),
+letters AS (
+  SELECT conv_id, unnest(string_split(label[9:], '')) AS letter, generate_subscripts(string_split(label[9:], ''), 1) AS k FROM best WHERE length(label) > 8),
+numbered AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER before - 1 AS seat, count(*) FILTER (letter <> 'D') OVER before AS place
+  FROM letters WINDOW before AS (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+made AS (
+  SELECT n.conv_id, n.k, n.letter, n.place, t.role, CASE WHEN n.letter = 'I' THEN '' ELSE t.text END AS text,
+         max(CASE WHEN n.place = 1 AND n.letter = 'K' AND t.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY n.conv_id) AS led
+  FROM numbered n LEFT JOIN turns t ON n.letter <> 'I' AND n.conv_id IS NOT DISTINCT FROM t.conv_id AND n.seat = t.seat
+  WHERE n.letter <> 'D'),
+digests AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k)) AS h
+  FROM made GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(left(label, 8), '0') AS BIGINT) AS cost,
+       coalesce(label[9:], '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN digests d ON o.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
 def build() -> dict[str, str]:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, grams in template_rows())
-    return {"op4_curriculum_mix": OP4, "op9_license_scan": OP9.replace("@ROWS@", rows)}
+    return {"op4_curriculum_mix": OP4, "op9_license_scan": OP9.replace("@ROWS@", rows), "op12_conversation_repair": OP12}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm import ann, bpe, langid, licenses, mixing, quality, simhash, suffix_lm, toxicity, vector_dedup
+from nearloom.llm import ann, bpe, conversations, langid, licenses, mixing, quality, simhash, suffix_lm, toxicity, vector_dedup
 from nearloom.llm.common import fold, table
 from nearloom.llm.labelled import labelled_sample
 
@@ -81,6 +81,17 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversations.repair(conversations.damaged(rows)).summary.withColumnRenamed("conv", "found")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    # Conversations that lost all rows.
+    longs = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    none = {c: F.when(F.col("audit").isNull(), F.lit(0).cast("long")).otherwise(F.col(c)) for c in longs}
+    none |= {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))}
+    return every.select("conv_id", *(expression.alias(c) for c, expression in none.items()))
+
+
 def _with_prediction(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
@@ -92,6 +103,6 @@ REGISTRY = {
     f.__name__: f
     for f in (
         op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix, op5_byte_bpe,
-        op6_language_id, op7_toxicity, op8_quality, op9_license_scan, op10_suffix_tree_scores,
+        op6_language_id, op7_toxicity, op8_quality, op9_license_scan, op10_suffix_tree_scores, op12_conversation_repair,
     )
 }

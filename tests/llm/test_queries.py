@@ -20,6 +20,7 @@ COLUMNS = {
     4: ["doc_id", "size", "source_size", "target", "taken"], 5: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     6: ["doc_id", "held_out", "lang_pred", "score"], 7: ["doc_id", "held_out", "score", "predicted"], 8: ["doc_id", "held_out", "score", "predicted"],
     9: ["doc_id", "license", "dice"], 10: ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    12: ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
 
@@ -31,15 +32,16 @@ def name_of(n):
 def test_columns_and_rows(spark, n):
     found = entry.queries()[name_of(n)](spark, SF)
     assert set(COLUMNS[n]) <= set(found.columns)
-    rows = {1: 50, 2: 500, 9: None}.get(n, 200)
+    rows = {1: 50, 2: 500, 9: None, 12: None}.get(n, 200)
     assert found.count() == rows if rows else found.count() > 0
 
 
-@pytest.mark.parametrize("n", [4, 9])
+@pytest.mark.parametrize("n", [4, 9, 12])
 def test_query_equals_sql(spark, n):
     name = name_of(n)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_ in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     got = entry.queries()[name](spark, SF).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
     columns = sorted(got.columns)
