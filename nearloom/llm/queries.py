@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm import ann, bpe, conversations, langid, licenses, mixing, quality, simhash, suffix_lm, toxicity, vector_dedup
+from nearloom.llm import ann, bpe, conversations, langid, licenses, mixing, pii, quality, simhash, suffix_lm, toxicity, vector_dedup
 from nearloom.llm.common import fold, table
 from nearloom.llm.labelled import labelled_sample
 
@@ -81,6 +81,14 @@ def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs)).select(
+        "doc_id", *(pii.count_of("base", kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.joined("base").cast("binary"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"),
+    )
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     found = conversations.repair(conversations.damaged(rows)).summary.withColumnRenamed("conv", "found")
@@ -103,6 +111,7 @@ REGISTRY = {
     f.__name__: f
     for f in (
         op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix, op5_byte_bpe,
-        op6_language_id, op7_toxicity, op8_quality, op9_license_scan, op10_suffix_tree_scores, op12_conversation_repair,
+        op6_language_id, op7_toxicity, op8_quality, op9_license_scan, op10_suffix_tree_scores, op11_personal_data,
+        op12_conversation_repair,
     )
 }

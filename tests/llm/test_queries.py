@@ -20,6 +20,7 @@ COLUMNS = {
     4: ["doc_id", "size", "source_size", "target", "taken"], 5: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     6: ["doc_id", "held_out", "lang_pred", "score"], 7: ["doc_id", "held_out", "score", "predicted"], 8: ["doc_id", "held_out", "score", "predicted"],
     9: ["doc_id", "license", "dice"], 10: ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    11: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     12: ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
