@@ -143,7 +143,38 @@ LEFT JOIN digests d ON o.conv_id IS NOT DISTINCT FROM d.conv_id
 """
 
 
+OP13 = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, d, array_to_string(w[i : i + d - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, d, w, unnest(range(1, len(w) - d + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS d) WHERE len(w) >= d)
+  GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE d = 1 GROUP BY lang),
+held AS (SELECT * FROM grams WHERE f >= 30),
+parts AS (SELECT lang, d, phrase, f AS a, string_split(phrase, ' ') AS w FROM held WHERE d > 1),
+cuts AS (
+  SELECT lang, d, phrase, a, w, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : d], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, d)) AS k FROM parts)),
+scored AS (
+  SELECT c.lang, c.d, c.phrase, c.w, c.a, h.f AS l, t.f AS r, CAST((2000000::HUGEINT * c.a) // (h.f + t.f) AS BIGINT) AS score, c.k
+  FROM cuts c JOIN held h ON c.lang = h.lang AND c.head = h.phrase JOIN held t ON c.lang = t.lang AND c.tail = t.phrase
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS f
+  FROM (SELECT *, unnest(range(1, d - m + 2)) AS i FROM parts, (SELECT unnest([2, 3]) AS m) WHERE m < d) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, CAST(s.a AS BIGINT) AS a,
+       CAST(s.l AS BIGINT) AS l, CAST(s.r AS BIGINT) AS r, n, s.score
+FROM scored s LEFT JOIN inside i ON s.lang = i.lang AND s.phrase = i.phrase JOIN totals t ON s.lang = t.lang
+WHERE i.f IS NULL OR 100::HUGEINT * i.f < 80::HUGEINT * s.a
+QUALIFY rank <= 2000
+"""
+
+
 def build() -> dict[str, str]:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, grams))}])" for name, grams in template_rows())
-    return {"op4_curriculum_mix": OP4, "op9_license_scan": OP9.replace("@ROWS@", rows), "op12_conversation_repair": OP12}
+    return {"op4_curriculum_mix": OP4, "op9_license_scan": OP9.replace("@ROWS@", rows), "op12_conversation_repair": OP12, "op13_phrase_collocations": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearloom.llm import ann, bpe, conversations, langid, licenses, mixing, pii, quality, simhash, suffix_lm, toxicity, vector_dedup
+from nearloom.llm import ann, bpe, conversations, langid, licenses, mixing, phrases, pii, quality, simhash, suffix_lm, toxicity, vector_dedup
 from nearloom.llm.common import fold, table
 from nearloom.llm.labelled import labelled_sample
 
@@ -100,6 +100,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *(expression.alias(c) for c, expression in none.items()))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def _with_prediction(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
@@ -112,6 +116,6 @@ REGISTRY = {
     for f in (
         op1_multiprobe_search, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_curriculum_mix, op5_byte_bpe,
         op6_language_id, op7_toxicity, op8_quality, op9_license_scan, op10_suffix_tree_scores, op11_personal_data,
-        op12_conversation_repair,
+        op12_conversation_repair, op13_phrase_collocations,
     )
 }

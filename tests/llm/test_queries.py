@@ -22,6 +22,7 @@ COLUMNS = {
     9: ["doc_id", "license", "dice"], 10: ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     11: ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     12: ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    13: ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
@@ -33,11 +34,11 @@ def name_of(n):
 def test_columns_and_rows(spark, n):
     found = entry.queries()[name_of(n)](spark, SF)
     assert set(COLUMNS[n]) <= set(found.columns)
-    rows = {1: 50, 2: 500, 9: None, 12: None}.get(n, 200)
+    rows = {1: 50, 2: 500, 9: None, 12: None, 13: None}.get(n, 200)
     assert found.count() == rows if rows else found.count() > 0
 
 
-@pytest.mark.parametrize("n", [4, 9, 12])
+@pytest.mark.parametrize("n", [4, 9, 12, 13])
 def test_query_equals_sql(spark, n):
     name = name_of(n)
     con = duckdb.connect()
