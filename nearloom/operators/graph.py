@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearloom.functions import keyed
-from nearloom.operators import knn, lsh
+from nearloom.operators import descent, knn, lsh
 from nearloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 from nearloom.params import CodeParams, GraphParams
 from nearloom.session import bucket_count, cut_lineage
@@ -53,7 +53,8 @@ def build_graph(
     """Bulk graph build, independent of insertion order and partitioning.
 
     ``edges_from`` picks the candidate neighbours: ``asymmetric`` or ``hamming`` codes, true
-    ``cosine`` (the hybrid build), or ``lsh`` buckets, whose work is below quadratic.
+    ``cosine`` (the hybrid build), or with work below quadratic ``lsh`` buckets or neighbour ``descent`` over
+    true cosine distances.
     """
     k = params.m_links
     if edges_from == "cosine":
@@ -66,6 +67,9 @@ def build_graph(
         found = lsh.multiprobe_knn(
             df, df, code_params, k, num_probes, hashes_per_table, "cosine", id_col, id_col, vec_col, exclude_self=True, **sizes
         )
+    elif edges_from == "descent":
+        found = descent.descend(df, k, "cosine", id_col=id_col, vec_col=vec_col, **sizes).neighbours
+        return link(found, params)
     else:
         raise ValueError(f"unknown edge source {edges_from}")
     return link(found.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), "dist"), params)

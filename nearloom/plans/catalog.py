@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from nearloom.functions import codes as C
 from nearloom.functions import pairs
 from nearloom.functions import vectors as V
-from nearloom.operators import encode, graph, ivf, knn, lsh, metrics, search
+from nearloom.operators import connect, descent, encode, graph, ivf, knn, lsh, metrics, search
 from nearloom.params import CodeParams, GraphParams, SearchParams
 from nearloom.session import cut_lineage, ensure_checkpoint_dir
 from nearloom.sources import datasets, index_store, results
@@ -36,6 +36,8 @@ BEAM = SearchParams(k=K, ef=32, width=8, rerank=False)
 RERANKED = SearchParams(k=K, ef=32, width=8, rerank=True, rerank_k=32)
 KNN_K = 16
 DETOUR_DEGREE = 8
+DESCENT_POOL = 16
+DESCENT_ROUNDS = 3
 DEPTHS = [10, 20, 50, 100, 200]
 SWEEP_EF = [10, 20, 40, 80]
 
@@ -531,6 +533,26 @@ def graph_build_lsh(spark, folder):
     return edges_out(graph.build_graph(embeddings(spark, folder), LSH_CODE, GRAPH, "lsh", num_probes=4))
 
 
+@registered
+def descent_graph(spark, folder):
+    """Neighbour lists after a fixed number of rounds."""
+    found = descent.descend(embeddings(spark, folder), K, pool=DESCENT_POOL, max_rounds=DESCENT_ROUNDS, stop=0.0)
+    return found.neighbours.select("src", "rank", "dst", F.round("dist", 6).alias("dist"))
+
+
+@registered
+def descent_work(spark, folder):
+    """Pairs compared and entries changed in every round."""
+    found = descent.descend(embeddings(spark, folder), K, pool=DESCENT_POOL, max_rounds=DESCENT_ROUNDS, stop=0.0)
+    return spark.createDataFrame([(r["round"], r["pairs"], r["updates"]) for r in found.rounds], "round int, pairs bigint, updates bigint")
+
+
+@registered
+def graph_build_descent(spark, folder):
+    e = embeddings(spark, folder)
+    return edges_out(graph.build_graph(e, COMPONENT_CODE, GRAPH, "descent", pool=DESCENT_POOL, max_rounds=DESCENT_ROUNDS, stop=0.0))
+
+
 @registered
 def edge_list(spark, folder):
     """A wide k-NN matrix with a missing and a self slot per row, as edges."""
@@ -595,6 +617,30 @@ def graph_connectivity(spark, folder):
     return found.withColumn("reachable_pct", F.round("reachable_pct", 6))
 
 
+def island_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest neighbour of every node: a graph of many islands."""
+    return cut_lineage(neighbours(spark, folder, 1).select("src", "dst", "dist"))
+
+
+@registered
+def graph_components(spark, folder):
+    return connect.components(island_edges(spark, folder), embeddings(spark, folder))
+
+
+@registered
+def connecting_edges(spark, folder):
+    """The cheapest edges that join the islands."""
+    return edges_out(connect.connect(island_edges(spark, folder), embeddings(spark, folder)).added)
+
+
+@registered
+def repaired_connectivity(spark, folder):
+    e = embeddings(spark, folder)
+    edges = cut_lineage(graph.reverse_edges(connect.connect(island_edges(spark, folder), e).edges))
+    found = graph.connectivity(edges, e, graph.entry_points(e))
+    return found.withColumn("reachable_pct", F.round("reachable_pct", 6))
+
+
 @registered
 def entry_points(spark, folder):
     return graph.entry_points(embeddings(spark, folder), 4, seed=42)

@@ -221,6 +221,46 @@ REACH = (
     "reach AS (SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY node)",
 )
 
+def hashed(*parts) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(map(str, parts))})), 1, 15))::BIGINT"
+
+
+def descended(rounds: int = c.DESCENT_ROUNDS, pool: int = c.DESCENT_POOL) -> list[str]:
+    """``l0 .. l{rounds}(src, dst, dist, new)``: neighbour lists after every round, and ``p1 ..`` with the pairs compared."""
+    out = [
+        EMB, all_pairs(COS).replace("sc AS (", "sc AS MATERIALIZED ("), "total AS (SELECT count(*) AS n FROM e)",
+        f"placed AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {hashed(42, 'vec_id')}, vec_id) - 1 AS place, n FROM e, total)",
+        f"l0 AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, s.dist, true AS new FROM (SELECT id, place, n, unnest(range(1, least({pool}, n - 1) + 1)) AS step FROM placed) a "
+        "JOIN placed b ON b.place = (a.place + a.step) % a.n JOIN sc s ON s.query_id = a.id AND s.vec_id = b.id)",
+    ]
+    for r in range(1, rounds + 1):
+        was = f"l{r - 1}"
+        out += [
+            f"b{r} AS (SELECT dst AS z, src AS id, new FROM {was} QUALIFY row_number() OVER (PARTITION BY dst ORDER BY {hashed(42, r, 'src', 'dst')}, src) <= {pool})",
+            f"a{r} AS MATERIALIZED (SELECT z, id, bool_or(new) AS new FROM (SELECT src AS z, dst AS id, new FROM {was} UNION ALL SELECT * FROM b{r} "
+            f"UNION ALL SELECT DISTINCT src, src, false FROM {was}) GROUP BY 1, 2)",
+            f"p{r} AS MATERIALIZED (SELECT x.id AS src, y.id AS dst FROM a{r} x JOIN a{r} y ON x.z = y.z AND x.id <> y.id AND (x.new OR y.new))",
+            f"l{r} AS MATERIALIZED (SELECT m.src, m.dst, s.dist, m.new FROM (SELECT src, dst, bool_and(new) AS new FROM (SELECT src, dst, false AS new FROM {was} "
+            f"UNION ALL SELECT src, dst, true FROM p{r}) GROUP BY 1, 2) m JOIN sc s ON s.query_id = m.src AND s.vec_id = m.dst "
+            f"QUALIFY row_number() OVER (PARTITION BY m.src ORDER BY s.dist, m.dst) <= {pool})",
+        ]
+    return [*out, f"found AS (SELECT src AS query_id, dst AS vec_id, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst)::INTEGER AS rank FROM l{rounds})"]
+
+
+ISLANDS = (
+    EMB, all_pairs(COS).replace("sc AS (", "sc AS MATERIALIZED ("), ranked("sc", 1, "nn", skip_self=True),
+    "links AS (SELECT query_id AS a, vec_id AS b FROM nn UNION SELECT vec_id, query_id FROM nn)",
+    "walk(node, met) AS (SELECT vec_id, vec_id FROM e UNION SELECT w.node, l.b FROM walk w JOIN links l ON l.a = w.met)",
+    "comp AS MATERIALIZED (SELECT node, min(met) AS component FROM walk GROUP BY node)",
+    # The cheapest edge of every two components; the tree grows from the first component by the cheapest edge that leaves it.
+    "ways AS MATERIALIZED (SELECT x.component AS ca, y.component AS cb, s.dist, least(s.query_id, s.vec_id) AS u, greatest(s.query_id, s.vec_id) AS v "
+    "FROM sc s JOIN comp x ON x.node = s.query_id JOIN comp y ON y.node = s.vec_id WHERE x.component <> y.component "
+    "QUALIFY row_number() OVER (PARTITION BY x.component, y.component ORDER BY s.dist, least(s.query_id, s.vec_id), greatest(s.query_id, s.vec_id)) = 1)",
+    "tree(inside, u, v, dist) AS (SELECT [(SELECT min(component) FROM comp)], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE UNION ALL "
+    "SELECT list_append(t.inside, w.cb), w.u, w.v, w.dist FROM tree t JOIN ways w ON list_contains(t.inside, w.ca) AND NOT list_contains(t.inside, w.cb) "
+    "QUALIFY row_number() OVER (ORDER BY w.dist, w.u, w.v) = 1)",
+)
+
 DETOURS = (
     *NEAR,
     "det AS (SELECT e3.src, e3.dst, count(*) AS detours FROM edges e1 JOIN edges e2 ON e2.src = e1.dst JOIN edges e3 ON e3.src = e1.src AND e3.dst = e2.dst "
@@ -346,6 +386,17 @@ def build() -> dict[str, str]:
     out["graph_build_hamming"] = with_(EMB, hadamard(64), *SIGN, ham.replace("::INTEGER", "::DOUBLE"), ranked("sc", c.GRAPH.m_links, "found", skip_self=True), *linked("found"), select=graph_out(6))
     out["graph_build_hybrid"] = with_(EMB, all_pairs(COS), ranked("sc", c.GRAPH.m_links, "found", skip_self=True), *linked("found"), select=graph_out(6))
     out["graph_build_lsh"] = with_(*LSH, ranked("exact", c.GRAPH.m_links, "found", skip_self=True), *linked("found"), select=graph_out(6))
+    out["descent_graph"] = with_(*descended(), select=f"SELECT query_id AS src, rank, vec_id AS dst, round(dist, 6) AS dist FROM found WHERE rank <= {c.K}")
+    out["descent_work"] = with_(*descended(), select=" UNION ALL ".join(
+        f"SELECT {r}::INTEGER AS round, (SELECT count(*) // 2 FROM p{r})::BIGINT AS pairs, (SELECT count(*) FROM l{r} WHERE new)::BIGINT AS updates" for r in range(1, c.DESCENT_ROUNDS + 1)
+    ))
+    out["graph_build_descent"] = with_(*descended(), *linked("found"), select=graph_out(6))
+    out["graph_components"] = with_(*ISLANDS[:-2], select="SELECT node, component FROM comp", recursive=True)
+    out["connecting_edges"] = with_(*ISLANDS, select="SELECT u AS src, v AS dst, round(dist, 6) AS dist FROM tree WHERE u IS NOT NULL", recursive=True)
+    out["repaired_connectivity"] = with_(
+        *ISLANDS, "met AS (SELECT count(*) AS n FROM comp WHERE component IN (SELECT unnest(inside) FROM tree))",
+        select="SELECT count(*) AS num_nodes, (SELECT n FROM met) AS reachable, round(100.0::DOUBLE * (SELECT n FROM met) / count(*), 6) AS reachable_pct FROM e", recursive=True,
+    )
     out["edge_list"] = with_(*NEAR, select="SELECT src, dst, round(dist, 6) AS dist FROM edges")
     out["edge_membership"] = with_(*NEAR, select="SELECT a.dst AS src, a.src AS dst FROM edges a JOIN edges b ON b.src = a.dst AND b.dst = a.src")
     out["edge_removal"] = with_(*NEAR, select="SELECT a.src, a.dst, round(a.dist, 6) AS dist FROM edges a LEFT JOIN edges b ON b.src = a.dst AND b.dst = a.src WHERE b.src IS NULL")
