@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearloom.functions import keyed
 from nearloom.operators import knn
-from nearloom.session import cut_lineage
+from nearloom.session import cut_to_table
 
 # Pivots at most, so that what is broadcast stays below PIVOTS x dimension floats; rows of a side of a grid cell.
 PIVOTS, CELL = 4096, 2048
@@ -21,12 +21,12 @@ SLACK = 1e-9
 
 
 def _settled(parents: DataFrame) -> DataFrame:
-    """``label, root``: parents followed to their end, twice as far each time; every parent is smaller than its child."""
-    parents = cut_lineage(parents)
+    """``label, root``: parents followed to their end, twice as far each time; a root is its own parent."""
+    parents = cut_to_table(parents)
     while True:
         up = parents.select(F.col("label").alias("root"), F.col("root").alias("above"))
-        moved = parents.join(up, "root", "left").select("label", F.coalesce("above", "root").alias("root"), (F.col("above") < F.col("root")).alias("moved"))
-        moved = cut_lineage(moved)
+        moved = parents.join(up, "root", "left").select("label", F.coalesce("above", "root").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
+        moved = cut_to_table(moved)
         parents = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             return parents
@@ -39,17 +39,17 @@ def components(edges: DataFrame, nodes: DataFrame, id_col: str = "vec_id") -> Da
     followed to their ends, and edges inside a component go. Components with an edge at least halve each time, so rounds
     grow with the logarithm of the nodes, whatever the length of chains. Edges of nodes that are not listed, loops and nulls say nothing.
     """
-    labels = cut_lineage(nodes.select(F.col(id_col).alias("node")).filter("node is not null").distinct().withColumn("component", F.col("node")))
+    labels = cut_to_table(nodes.select(F.col(id_col).alias("node")).filter("node is not null").distinct().withColumn("component", F.col("node")))
     known = lambda c: labels.select(F.col("node").alias(c))
     links = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a < b").distinct()
-    links = cut_lineage(links.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi"))
+    links = cut_to_table(links.join(known("a"), "a", "left_semi").join(known("b"), "b", "left_semi"))
     while not links.isEmpty():
         ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = _settled(ways.groupBy(F.col("a").alias("label")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
         named = lambda c: parents.select(F.col("label").alias(c), F.col("root").alias(f"{c}_root"))
-        labels = cut_lineage(labels.join(named("component"), "component", "left").select("node", F.coalesce("component_root", "component").alias("component")))
+        labels = cut_to_table(labels.join(named("component"), "component", "left").select("node", F.coalesce("component_root", "component").alias("component")))
         moved = links.join(named("a"), "a").join(named("b"), "b").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
-        links = cut_lineage(moved.filter("a < b").distinct())
+        links = cut_to_table(moved.filter("a < b").distinct())
     return labels
 
 
@@ -152,7 +152,7 @@ def _cheapest(metric: str):
     return run
 
 
-def _nearest_foreign(members: DataFrame, giant: int, metric: str, radii: DataFrame, count: int) -> tuple[DataFrame, int]:
+def _nearest_foreign(members: DataFrame, giant: int, metric: str, radii: DataFrame) -> tuple[DataFrame, int]:
     """``component, u, v, cost, other``: the cheapest edge of every component but ``giant``, and the node-cell visits it took."""
     spark = members.sparkSession
     cells = members.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
@@ -167,9 +167,9 @@ def _nearest_foreign(members: DataFrame, giant: int, metric: str, radii: DataFra
     shared = spark.sparkContext.broadcast(held)
     asking = members.filter(F.col("component") != giant).select("id", "component", "vec")
     bounds = asking.select("component", "vec").mapInArrow(_bounds(metric, shared), "component bigint, bound double")
-    bounds = cut_lineage(bounds.groupBy("component").agg(F.min("bound").alias("bound")))
+    bounds = bounds.groupBy("component").agg(F.min("bound").alias("bound"))
     visits = asking.join(bounds, "component").mapInArrow(_visits(metric, shared), "id bigint, component bigint, vec array<float>, pivot bigint")
-    visits = cut_lineage(visits)
+    visits = cut_to_table(visits)
     asked = visits.groupBy("pivot").agg(F.count(F.lit(1)).alias("asked"))
     split = cells.join(asked, "pivot").select("pivot", F.ceil(F.col("asked") / CELL).cast("int").alias("qn"), F.ceil(F.col("n") / CELL).cast("int").alias("bn"))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
@@ -180,7 +180,7 @@ def _nearest_foreign(members: DataFrame, giant: int, metric: str, radii: DataFra
     kind = "component bigint, u bigint, v bigint, cost double, other bigint"
     found = left.groupBy("pivot", "a", "b").cogroup(right.groupBy("of", "c", "d")).applyInArrow(_cheapest(metric), kind)
     best = found.groupBy("component").agg(F.min(F.struct("cost", "u", "v", "other")).alias("e")).select("component", "e.*")
-    return cut_lineage(best), visits.count()
+    return cut_to_table(best), visits.count()
 
 
 def connect(
@@ -200,36 +200,40 @@ def connect(
     if metric not in ("cosine", "l2sq"):
         raise ValueError(f"no bounds for metric {metric}")
     nodes = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter("id is not null and vec is not null")
-    nodes = cut_lineage(nodes)
+    nodes = cut_to_table(nodes)
     count = nodes.count()
     labels = components(edges, nodes.select(F.col("id").alias("vec_id")))
     schema = "src bigint, dst bigint, dist double"
     added, rounds = df.sparkSession.createDataFrame([], schema), []
     if count:
         wanted = min(count, PIVOTS, pivots or max(1, math.isqrt(count)))
-        chosen = cut_lineage(nodes.orderBy(keyed.hash60(seed, F.col("id")), "id").limit(wanted))
+        chosen = cut_to_table(nodes.orderBy(keyed.hash60(seed, F.col("id")), "id").limit(wanted))
         as_query = nodes.select(F.col("id").alias("query_id"), F.col("vec").alias("embedding"))
         nearest = knn.exact_knn(as_query, chosen.select(F.col("id").alias("vec_id"), F.col("vec").alias("embedding")), 1, "l2sq")
         nearest = nearest.select(F.col("query_id").alias("id"), F.col("vec_id").alias("pivot"), F.sqrt(F.greatest("dist", F.lit(0.0))).alias("away"))
         square = F.aggregate("vec", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))
-        placed = cut_lineage(nodes.join(nearest, "id").withColumn("square", square))
-        radii = cut_lineage(placed.groupBy("pivot").agg(F.max("away").alias("radius"), F.max("square").alias("norm")))
+        placed = cut_to_table(nodes.join(nearest, "id").withColumn("square", square))
+        radii = cut_to_table(placed.groupBy("pivot").agg(F.max("away").alias("radius"), F.max("square").alias("norm")))
         cells = radii.count()
     while count:
         sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        (number,), giant = sizes.agg(F.count(F.lit(1))).first(), sizes.orderBy(F.desc("n"), "component").first()
+        number, giant = sizes.agg(F.count(F.lit(1)), F.min(F.struct(-F.col("n"), F.col("component")))).first()
+        held, giant = -giant[0], giant[1]
         if number < 2:
             break
-        members = cut_lineage(placed.join(labels.withColumnRenamed("node", "id"), "id"))
-        best, visits = _nearest_foreign(members, giant["component"], metric, radii, count)
-        possible = (count - giant["n"]) * cells
+        members = cut_to_table(placed.join(labels.withColumnRenamed("node", "id"), "id"))
+        best, visits = _nearest_foreign(members, giant, metric, radii)
+        possible = (count - held) * cells
         rounds.append({"round": len(rounds) + 1, "components": number, "visits": visits, "ruled_out": 1 - visits / possible})
-        fresh = cut_lineage(best.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("cost").alias("dist")).distinct())
+        fresh = cut_to_table(best.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("cost").alias("dist")).distinct())
         added = added.unionByName(fresh)
-        joined = best.select(F.col("component").alias("src"), F.col("other").alias("dst"))
-        merged = components(joined, sizes.select(F.col("component").alias("vec_id")))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = cut_lineage(labels.join(merged, "component").select("node", F.col("root").alias("component")))
-    added = cut_lineage(added.distinct())
+        # Two components that chose each other are led by the lesser; all other choices lead on to cheaper edges.
+        back = best.select(F.col("component").alias("other"), F.col("other").alias("back"))
+        lead = F.when((F.col("back") == F.col("component")) & (F.col("component") < F.col("other")), F.col("component")).otherwise(F.col("other"))
+        parents = best.select("component", "other").join(back, "other", "left").select(F.col("component").alias("label"), lead.alias("root"))
+        merged = _settled(parents.unionByName(df.sparkSession.createDataFrame([(giant, giant)], "label bigint, root bigint")))
+        merged = merged.withColumnRenamed("label", "component")
+        labels = cut_to_table(labels.join(merged, "component").select("node", F.col("root").alias("component")))
+    added = cut_to_table(added.distinct())
     turned = added.unionByName(added.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))
     return Connected(edges.select("src", "dst", "dist").unionByName(turned), added, rounds)

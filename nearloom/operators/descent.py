@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearloom.functions import keyed, pairs
 from nearloom.functions import vectors as V
 from nearloom.operators import knn
-from nearloom.session import bucket_count, cut_lineage, number_rows
+from nearloom.session import bucket_count, cut_to_table, number_rows
 
 CANDIDATES = "src bigint, dst bigint, dist double"
 # Room for the rounding of a matrix product against the distances that decide.
@@ -86,7 +86,7 @@ def _local_join(metric: str, keep: int):
 def _first_lists(nodes: DataFrame, keep: int, metric: str, seed: int, count: int) -> DataFrame:
     """The ``keep`` nodes that follow each node in the order of keyed hashes."""
     keyed_ids = nodes.select(F.struct(keyed.hash60(seed, F.col("id")).alias("h"), "id").alias("k"))
-    placed = cut_lineage(number_rows(keyed_ids, "k", "place").select(F.col("k.id").alias("id"), "place"))
+    placed = cut_to_table(number_rows(keyed_ids, "k", "place").select(F.col("k.id").alias("id"), "place"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(min(keep, count - 1)))).alias("step")
     drawn = placed.select(F.col("id").alias("src"), "place", steps).select("src", F.pmod(F.col("place") + F.col("step"), F.lit(count)).alias("place"))
     drawn = drawn.join(placed.withColumnRenamed("id", "dst"), "place").select("src", "dst")
@@ -126,16 +126,16 @@ def descend(
     if k < 1 or max_rounds < 0:
         raise ValueError("k must be > 0 and max_rounds >= 0")
     pool = pool or max(2 * k, 24)
-    nodes = cut_lineage(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter("id is not null and vec is not null"))
+    nodes = cut_to_table(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("vec")).filter("id is not null and vec is not null"))
     count = nodes.count()
     if count < 2:
         empty = df.sparkSession.createDataFrame([], CANDIDATES)
         return Descent(knn.top_k(empty, k, "src", ("dist", "dst")).select("src", "rank", "dst", "dist"))
     parts = bucket_count(df.sparkSession, count * pool)
-    lists = cut_lineage(_first_lists(nodes, pool, metric, seed, count))
+    lists = cut_to_table(_first_lists(nodes, pool, metric, seed, count))
     rounds = []
     for turn in range(1, max_rounds + 1):
-        around = cut_lineage(_around(lists, pool, seed, turn))
+        around = cut_to_table(_around(lists, pool, seed, turn))
         sizes = around.groupBy("z").agg(F.count_if("new").alias("fresh"), F.count(F.lit(1)).alias("every"))
         compared = sizes.agg(F.coalesce(F.sum(F.expr("fresh * (fresh - 1) div 2 + fresh * (every - fresh)")), F.lit(0))).first()[0]
         full = F.when(F.count(F.lit(1)) >= min(pool, count - 1), F.max("dist")).otherwise(F.lit(float("inf")))
@@ -146,7 +146,7 @@ def descend(
         every = lists.select("src", "dst", "dist", F.lit(1).alias("old")).unionByName(found.withColumn("old", F.lit(0)))
         every = every.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.max("old").alias("old"))
         best = knn.top_k(every, pool, "src", ("dist", "dst"))
-        lists = cut_lineage(best.select("src", "dst", "dist", (F.col("old") == 0).alias("new")))
+        lists = cut_to_table(best.select("src", "dst", "dist", (F.col("old") == 0).alias("new")))
         changed = lists.filter("new").count()
         rounds.append({"round": turn, "pairs": int(compared), "updates": changed})
         if changed <= stop * count * pool:

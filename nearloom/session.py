@@ -57,6 +57,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_to_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and continue from the files.
+
+    For loops whose joins repeat: a checkpoint hands on the constraints that the optimizer derived for its plan, which
+    multiply with every round, while a table has none.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bucket_count(spark: SparkSession, rows: int | None = None) -> int:
     """Partitions for ``rows`` small rows: all cores for little data, 100,000 rows each for much."""
     if rows is None:
