@@ -57,4 +57,15 @@ def write_shared(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: compressed, and read again after a loss."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table of ``write_shared`` (or of a bucketed table with a name) that no later step reads."""
+    spark = df.sparkSession
+    if getattr(df, "_shared_name", None):
+        spark.sql(f"DROP TABLE IF EXISTS {df._shared_name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
