@@ -270,6 +270,24 @@ def duplicates_found(results: DataFrame, groups: DataFrame, k: int) -> DataFrame
     )
 
 
+def stored_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values as its columns hold them: fixed widths by type, the elements of arrays, the bytes of texts."""
+    widths = {"bigint": 8, "double": 8, "int": 4, "float": 4, "smallint": 2, "tinyint": 1, "boolean": 1, "date": 4, "timestamp": 8}
+    total = F.lit(0).cast("bigint")
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size = F.octet_length(f.name)
+        elif kind.startswith("array<") and kind[6:-1] in widths:
+            size = F.size(f.name) * widths[kind[6:-1]]
+        elif kind in widths:
+            size = F.when(F.col(f.name).isNotNull(), widths[kind])
+        else:
+            raise ValueError(f"no width for {kind}")
+        total = total + F.coalesce(F.greatest(size, F.lit(0)), F.lit(0))
+    return total
+
+
 def memory_footprint(parts: dict[str, tuple[DataFrame, Column]], system: str) -> DataFrame:
     """``system, component, bytes, mb``: the summed row sizes of every component table."""
     rows = None

@@ -271,11 +271,12 @@ DETOURS = (
 )
 
 FOOT = (
-    "foot AS (SELECT 'codes_and_graph' AS system, 'codes' AS component, count(*) * 8 AS bytes FROM embeddings "
-    f"UNION ALL SELECT 'codes_and_graph', 'edges', count(*) * {c.KNN_K} * 4 FROM embeddings "
-    "UNION ALL SELECT 'codes_and_graph', 'vectors', sum(4 * len(embedding))::BIGINT FROM embeddings "
-    "UNION ALL SELECT 'float_graph', 'vectors', sum(4 * len(embedding))::BIGINT FROM embeddings "
-    f"UNION ALL SELECT 'float_graph', 'edges', count(*) * {c.KNN_K} * 8 FROM embeddings)"
+    # A long and one word of code, two longs of an edge, a long and the floats of a vector.
+    "foot AS (SELECT 'codes_and_graph' AS system, 'codes' AS component, count(*) * (8 + 8) AS bytes FROM embeddings "
+    f"UNION ALL SELECT 'codes_and_graph', 'edges', count(*) * {c.KNN_K} * (8 + 8) FROM embeddings "
+    "UNION ALL SELECT 'codes_and_graph', 'vectors', sum(8 + 4 * len(embedding))::BIGINT FROM embeddings "
+    "UNION ALL SELECT 'float_graph', 'vectors', sum(8 + 4 * len(embedding))::BIGINT FROM embeddings "
+    f"UNION ALL SELECT 'float_graph', 'edges', count(*) * {c.KNN_K} * (8 + 8) FROM embeddings)"
 )
 
 
@@ -321,7 +322,7 @@ def build() -> dict[str, str]:
     )
     out["calibration"] = with_(*PAIR_CODES, CAL, select="SELECT round(alpha, 9) AS alpha, round(beta, 6) AS beta, round(r2, 6) AS r_squared, n AS num_samples FROM cal")
     out["pairs_sparse_ids"] = with_(
-        "e AS (SELECT vec_id * 10 + 3 AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings WHERE vec_id % 3 <> 1)",
+        "e AS (SELECT vec_id * 10 + 3 AS id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings)",
         "numbered AS (SELECT pos * 5 + p AS pair_id, (SELECT count(*) FROM e) AS n FROM e, range(5) t(p))", *PAIRS[1:],
         select="SELECT pair_id, a.id AS i, b.id AS j FROM pairs JOIN e a ON a.pos = pairs.i JOIN e b ON b.pos = pairs.j",
     )
