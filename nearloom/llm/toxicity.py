@@ -15,8 +15,8 @@ from nearloom.llm.common import release, words_of
 from nearloom.session import cut_lineage
 
 # Bounds of the model: labelled documents to learn from, hashed terms, factors per term.
-SAMPLE = 10_000
-TERMS = 3072
+SAMPLE = 16_000
+TERMS = 4096
 FACTORS = 8
 MIN_DOCS = 5
 # A word counts as itself and as its beginnings of these lengths, which stand for its stem.
