@@ -119,8 +119,9 @@ def identify(
         release()
 
     guess = F.arrow_udf(run, "lang_pred string, score double, margin double")
-    return docs.withColumn("_guess", guess(F.col(text).cast("string"))).select(
-        *docs.columns,
-        *[F.col(f"_guess.{c}").alias(c) for c in added[:3]],
-        (F.col("_guess.margin") < F.lit(float(min_margin))).alias("rejected"),
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), guess(F.col(text).cast("string")).alias("guess")).select(
+        "row.*",
+        *[F.col(f"guess.{c}").alias(c) for c in added[:3]],
+        (F.col("guess.margin") < F.lit(float(min_margin))).alias("rejected"),
     )

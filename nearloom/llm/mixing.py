@@ -90,20 +90,19 @@ def plan_mix(
     Running sums are made in two steps: sources are cut by the hash into about sqrt(rows) buckets,
     whose sums are accumulated per source, then rows are accumulated per bucket; a source that
     holds a third of all rows is spread over all buckets. Null texts have size 0; rows of size 0 are
-    in no piece; null sources are a source; rows with a null key stand first. Repeated rows are
-    documents of their own, in no particular order. Names of the added columns start with
+    in no piece; null sources are a source; a row with a null key is placed by the hash of its text. Repeated rows are
+    documents of their own; rows of one key are ordered by size, then by a hash of their text. Names of the added columns start with
     ``prefix``; columns named like them are replaced. An empty table gives no rows.
     """
     added = ("size", "source_size", "target", "taken", "pieces")
     docs = docs.drop(*[prefix + c for c in added])
-    keyed = docs.withColumns(
-        {
-            "_size": word_count(F.col(text)),
-            "_source": _source_key(source),
-            "_hash": F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")),
-        }
+    # The row travels whole in one column, so that none of its names can meet those used here.
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(F.col(text)).alias("_size"), _source_key(source).alias("_source"),
+        F.col(source).cast("string").alias("_name"), F.xxhash64(F.col(text).cast("string")).alias("_content"),
+        F.md5(F.coalesce(F.col(key).cast("string"), F.col(text).cast("string"), F.lit("")).cast("binary")).alias("_hash"),
     )
-    sized = cut_lineage(keyed.select(F.col(source).cast("string").alias("_name"), "_source", "_hash", F.col("_size").alias("size")))
+    sized = cut_lineage(keyed.select("_name", "_source", "_hash", F.col("_size").alias("size")))
     rows = sized.count()
     buckets = root_parts(rows)
     bucket = F.floor(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("int")
@@ -121,7 +120,7 @@ def plan_mix(
     # Written once, so that the expressions below stay small.
     offsets = cut_lineage(sums.withColumn("_offset", before).drop("_sum").join(sources, "_source"))
     inside = F.expr(
-        "coalesce(sum(_size) over (partition by _source, _bucket order by _hash rows between unbounded preceding and 1 preceding), 0)"
+        "coalesce(sum(_size) over (partition by _source, _bucket order by _hash, _size, _content rows between unbounded preceding and 1 preceding), 0)"
     )
     placed = keyed.withColumn("_bucket", bucket).withColumn("_before", inside).join(offsets, ["_source", "_bucket"])
     demand = F.round("_target").cast("long")
@@ -141,7 +140,7 @@ def plan_mix(
     pieces = F.filter(copies, lambda p: p["words"] > 0)
     words = [F.greatest(F.lit(0).cast("long"), F.least(demand - F.col("_source_size") * c - at, F.col("_size"))) for c in range(max_repeats)]
     made = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"), "taken": sum(words[1:], words[0]), "pieces": pieces}
-    return placed.select(*docs.columns, *[made[c].alias(prefix + c) for c in added])
+    return placed.select("row.*", *[made[c].alias(prefix + c) for c in added])
 
 
 def training_order(plan: DataFrame, columns: Sequence[str], key: str = "doc_id", share: float = 0.5, prefix: str = "") -> DataFrame:
@@ -150,7 +149,7 @@ def training_order(plan: DataFrame, columns: Sequence[str], key: str = "doc_id",
     A copy of which the mix takes at least ``share`` of the words goes in whole, any other stays
     out. Rows are range-sorted by position, ties by the hash of the key.
     """
-    size = F.col(prefix + "size").alias("_of")
-    due = plan.select(*columns, size, F.explode(prefix + "pieces").alias("_piece"))
-    due = due.filter(F.col("_piece")["words"] >= F.lit(float(share)) * F.col("_of"))
-    return due.orderBy(F.col("_piece")["position"], F.xxhash64(key), F.col("_piece")["copy"]).select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    due = plan.select(row, F.col(prefix + "size").alias("of"), F.xxhash64(key).alias("hash"), F.explode(prefix + "pieces").alias("piece"))
+    due = due.filter(F.col("piece")["words"] >= F.lit(float(share)) * F.col("of"))
+    return due.orderBy(F.col("piece")["position"], "hash", F.col("piece")["copy"]).select("row.*")

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearloom.llm.common import release, words_of
 from nearloom.llm.components import connected_components
@@ -221,7 +222,11 @@ def near_copies(
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = 2) -> DataFrame:
     """The documents whose key is the smallest of their component, with all their columns.
 
-    Of rows that share this key one stays. Rows with a null key cannot be named and go.
+    Of rows that share this key the one whose text has the least hash stays. Rows with a null key cannot be named and go.
     """
     kept = near_copies(docs, key, text, max_bits).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+    order = F.struct(F.sha2(F.col(text).cast("binary"), 256).alias("text"), F.xxhash64(*plain).alias("row"))
+    # Combined in tasks before the shuffle, so that a key with very many rows is no hot one.
+    return docs.join(kept, key, "left_semi").groupBy(F.col(key).alias("key")).agg(F.min_by(row, order).alias("row")).select("row.*")

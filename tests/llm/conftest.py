@@ -2,7 +2,9 @@ import pytest
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Columns whose names operators use themselves.
-CLASHING = ("size", "score", "fingerprint", "component_id", "block", "pieces", "ids", "label", "target", "word", "n", "a", "b")
+CLASHING = ("size", "score", "fingerprint", "component_id", "block", "pieces", "ids", "label", "target", "word", "n", "a", "b",
+            "_size", "_source", "_name", "_hash", "_content", "_before", "_bucket", "_offset", "_target", "_first", "_last", "_source_size", "_piece",
+            "_of", "_guess", "guess", "row", "hash", "key", "part", "of", "length", "data", "keys", "lang_pred", "piece", "_text", "base", "spans")
 
 
 @pytest.fixture(scope="session")

@@ -25,7 +25,7 @@ def plain_mix(rows, weights=(5.0, 2.0, 1.0), repeats=3):
     taken = [0] * len(rows)
     for s in names:
         left = round(target[s])
-        mine = sorted((i for i in range(len(rows)) if source[i] == s), key=lambda i: hashlib.md5(str("" if rows[i][0] is None else rows[i][0]).encode()).hexdigest())
+        mine = sorted((i for i in range(len(rows)) if source[i] == s), key=lambda i: (hashlib.md5(str((rows[i][1] or "") if rows[i][0] is None else rows[i][0]).encode()).hexdigest(), size[i]))
         for _ in range(repeats):
             for i in mine:
                 took = min(left, size[i])
@@ -54,6 +54,17 @@ def test_equals_plain_version(doc_frame):
     assert sum(target.values()) == pytest.approx(sum(size))
 
 
+def test_repeated_ids_are_ordered_whatever_the_partitions(doc_frame):
+    rows = [(i % 9 if i % 4 else None, " ".join([f"w{i}"] * (1 + i % 13)), "en", "ab"[i % 2]) for i in range(260)]
+    runs = []
+    for parts in (1, 5):
+        plan = mixing.plan_mix(doc_frame(rows).repartition(parts))
+        runs.append(sorted((r.text, r["size"], r.taken) for r in plan.collect()))
+        order = [r.text for r in mixing.training_order(plan, ["doc_id", "text", "_target", "_first"]).collect()]
+        runs.append(order)
+    assert runs[0] == runs[2] and sorted(runs[1]) == sorted(runs[3])
+
+
 def test_positions_follow_the_ramp(doc_frame):
     rows = [(i, "w " * 10, "en", "abc"[i % 3]) for i in range(3000)]
     got = mixing.plan_mix(doc_frame(rows)).collect()
