@@ -125,11 +125,61 @@ def test_repeated_rows_and_nothing(spark):
     assert vector_dedup.near_copies(frame(spark, [])).count() == 0
 
 
-def test_passes_grow_with_the_table():
-    small, large = (vector_dedup.passes_for(n, 0.95, 256, 1e-3) for n in (10**4, 10**9))
-    assert 1 <= small < large
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _hard_rows(kind, n, seed=0):
+    """Vectors with partners at a cosine of about 0.955 for some."""
+    rng = np.random.default_rng(seed)
+    if kind == "clusters":
+        x = _unit(rng.normal(size=(60, 64))[rng.integers(0, 60, n)] + 0.35 * rng.normal(size=(n, 64)))
+    else:
+        shared = 2.9 * 8 * _unit(rng.normal(size=(1, 64))) if kind == "shared direction" else 0
+        x = _unit(rng.normal(size=(n, 64)) + shared)
+    p = x[rng.integers(0, n, n // 30)]
+    z = rng.normal(size=p.shape)
+    z = _unit(z - (z * p).sum(1, keepdims=True) * p)
+    return np.concatenate([x, _unit(0.955 * p + np.sqrt(1 - 0.955**2) * z)])
+
+
+def _linked(x, step=1000):
+    for i in range(0, len(x), step):
+        a, b = np.nonzero(x[i : i + step] @ x.T >= 0.95)
+        keep = a + i < b
+        yield np.stack([a[keep] + i, b[keep]], axis=1)
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clusters", "shared direction"])
+def test_passes_meet_links_of_hard_data(kind):
+    x = _hard_rows(kind, 30_000)
+    links = np.concatenate(list(_linked(x)))
+    mean = x.mean(0)
+    window, passes = vector_dedup.plan_passes(x[:4096], mean, len(x), 0.95, 1e-3)
+    met = np.zeros(len(links), bool)
+    for p in range(passes):
+        keys = ((x - mean) @ np.random.default_rng(p).normal(size=(64, 60)) > 0) @ np.left_shift(np.int64(1), np.arange(59, -1, -1))
+        place = np.argsort(np.argsort(keys, kind="stable"))
+        met |= np.abs(place[links[:, 0]] - place[links[:, 1]]) <= window
+    assert len(links) >= 1000 and met.mean() >= 0.99
+
+
+def test_shared_direction_equals_brute_force(spark):
+    x = _hard_rows("shared direction", 3000, seed=1).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id bigint, embedding array<float>")
+    y = _unit(x.astype(np.float64))
+    degree = np.zeros(len(x), int)
+    for pair in _linked(y):
+        np.add.at(degree, pair.ravel(), 1)
+    got = np.array([r.n_links for r in sorted(vector_dedup.near_copies(df).collect(), key=lambda r: r.vec_id)])
+    assert (got <= degree).all() and got.sum() >= 0.99 * degree.sum()
+
+
+def test_passes_grow_slowly():
+    x = _unit(np.random.default_rng(3).normal(size=(4096, 64)))
+    costs = [w * p for w, p in (vector_dedup.plan_passes(x, x.mean(0), n, 0.95, 1e-3) for n in (10**4, 10**9))]
+    assert costs[0] < costs[1] < 100 * costs[0]
+
 def _equals_brute_force(spark, x, **settings):
     got = {r.vec_id: r for r in vector_dedup.near_copies(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]).repartition(40), **settings).collect()}
     linked = links(x, 0.95)
