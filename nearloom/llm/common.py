@@ -62,15 +62,17 @@ def write_shared(df: DataFrame) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table of ``write_shared`` (or of a bucketed table with a name) that no later step reads.
+def sweep(spark: SparkSession) -> None:
+    """Let the driver collect the plans of finished jobs now, with which their shuffle files go."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
 
-    Shuffle files of finished jobs go when the driver collects their plans, which is asked for here.
-    """
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table of ``write_shared`` (or of a bucketed table with a name) that no later step reads."""
     spark = df.sparkSession
     if getattr(df, "_shared_name", None):
         spark.sql(f"DROP TABLE IF EXISTS {df._shared_name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
+    sweep(spark)
