@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from nearloom.functions import codes as C
 from nearloom.functions import pairs
 from nearloom.functions import vectors as V
-from nearloom.operators import connect, descent, encode, graph, ivf, knn, lsh, metrics, search
+from nearloom.operators import connect, descent, encode, graph, hamming_index, ivf, knn, lsh, metrics, search
 from nearloom.params import CodeParams, GraphParams, SearchParams
 from nearloom.session import cut_lineage, ensure_checkpoint_dir
 from nearloom.sources import datasets, index_store, results
@@ -25,6 +25,7 @@ DIM = 64
 K = 10
 COMPONENT_CODE = CodeParams(DIM, bits=16)
 SIGN_CODE = CodeParams(DIM, bits=32)
+PART_BITS = 8
 RESIDUAL_CODE = CodeParams(DIM, bits=32, residual_bits=16, shift=2)
 LSH_CODE = CodeParams(DIM, bits=8)
 GRAPH_SWEEP_EF = [10, 32]
@@ -371,6 +372,24 @@ def hamming_knn(spark, folder):
     )
 
 
+def part_search(spark: SparkSession, folder: str) -> hamming_index.Found:
+    c = encode.encode(embeddings(spark, folder), SIGN_CODE, keep=["vec_id"])
+    return hamming_index.search(as_queries(c), hamming_index.build_index(c, SIGN_CODE, PART_BITS), K)
+
+
+@registered
+def hamming_index_knn(spark, folder):
+    """The same by an index over parts of the code."""
+    return part_search(spark, folder).hits.select("query_id", "vec_id", "rank", F.col("dist").cast("int").alias("hamming"))
+
+
+@registered
+def hamming_index_work(spark, folder):
+    """Queries and codes compared in every round of the index, the closing scan as radius -1."""
+    rounds = part_search(spark, folder).rounds
+    return spark.createDataFrame(rounds, "radius int, queries bigint, candidates bigint, finished bigint")
+
+
 @registered
 def combined_hamming_knn(spark, folder):
     """Residual codes: integer distance and its scaled estimate."""

@@ -5,6 +5,7 @@ Written for DuckDB over the same tables; used only to check results.
 
 from __future__ import annotations
 
+from nearloom.operators import hamming_index
 from nearloom.plans import catalog as c
 
 EMB = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -339,6 +340,21 @@ def build() -> dict[str, str]:
     out["asymmetric_knn"] = with_(*CODE_TOP, ranked("p_sc", c.K), select=hits(digits=3))
     ham = "sc AS (SELECT a.vec_id AS query_id, b.vec_id, bit_count(xor(a.w, b.w))::INTEGER AS dist FROM s_w a, s_w b)"
     out["hamming_knn"] = with_(EMB, hadamard(64), *SIGN, ham, ranked("sc", c.K), select="SELECT query_id, vec_id, rank, dist AS hamming FROM top")
+    out["hamming_index_knn"] = out["hamming_knn"]
+    parts = c.SIGN_CODE.bits // c.PART_BITS
+    least = ", ".join(f"bit_count((x >> {j * c.PART_BITS}) & {(1 << c.PART_BITS) - 1})::INTEGER" for j in range(parts))
+    last = hamming_index.HammingIndex(None, None, None, c.SIGN_CODE, c.PART_BITS, 0).last_radius()
+    out["hamming_index_work"] = with_(
+        EMB, hadamard(64), *SIGN,
+        f"apart AS MATERIALIZED (SELECT query_id, vec_id, bit_count(x)::INTEGER AS dist, [{least}] AS p FROM (SELECT a.vec_id AS query_id, b.vec_id, xor(a.w, b.w) AS x FROM s_w a, s_w b))",
+        f"radii AS (SELECT r::INTEGER AS r FROM range({last + 1}) t(r))",
+        f"seen AS (SELECT r, query_id, dist FROM radii, apart WHERE list_min(p) <= r QUALIFY row_number() OVER (PARTITION BY r, query_id ORDER BY dist, vec_id) <= {c.K})",
+        f"ends AS (SELECT query_id, min(r) AS ready FROM (SELECT r, query_id FROM seen GROUP BY 1, 2 HAVING count(*) = {c.K} AND max(dist) < {parts} * (r + 1)) GROUP BY 1)",
+        "q AS (SELECT vec_id AS query_id, ready FROM e LEFT JOIN ends ON query_id = vec_id)",
+        "work AS (SELECT r, query_id, sum(len(list_filter(p, lambda d: d = r)))::BIGINT AS n FROM radii, apart GROUP BY 1, 2)",
+        select="SELECT r AS radius, count(*) AS queries, sum(n)::BIGINT AS candidates, count(*) FILTER (ready = r) AS finished FROM work JOIN q USING (query_id) WHERE ready IS NULL OR ready >= r GROUP BY r "
+        "UNION ALL SELECT -1, count(*), count(*) * (SELECT count(*) FROM e), count(*) FROM q WHERE ready IS NULL HAVING count(*) > 0",
+    )
     comb = "sc AS (SELECT a.vec_id AS query_id, b.vec_id, (bit_count(xor(a.w, b.w))::INTEGER * 4 + bit_count(xor(ra.w, rb.w)))::INTEGER AS dist FROM (s_w a JOIN t_w ra USING (vec_id)), (s_w b JOIN t_w rb USING (vec_id)))"
     out["combined_hamming_knn"] = with_(
         EMB, hadamard(64), *SIGN, *RESID, comb, ranked("sc", c.K), "n AS (SELECT vec_id, sqrt(list_dot_product(v, v)) AS q FROM e)",

@@ -13,7 +13,7 @@ QUICK = [
     "asymmetric_knn", "combined_hamming_knn", "rerank_topk", "lsh_pair_hash_join", "detour_pruned_edges",
     "rank_pruned_graph", "graph_build_codes", "ann_search", "recall_sweep", "latency_stats", "calibration",
     "pareto_front", "rerank_missing_vectors", "latency_overall", "pairs_sparse_ids", "multiprobe_recall_sweep",
-    "code_length_sweep", "ivf_label_product_codes", "fvecs_scan", "stream_index_growth", "descent_graph", "descent_work", "connecting_edges", "memory_footprint",
+    "code_length_sweep", "ivf_label_product_codes", "fvecs_scan", "stream_index_growth", "descent_graph", "descent_work", "hamming_index_knn", "hamming_index_work", "connecting_edges", "memory_footprint",
 ]
 
 
