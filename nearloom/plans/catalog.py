@@ -492,7 +492,7 @@ def ivf_label_cells(spark, folder):
 @registered
 def ivf_label_product_codes(spark, folder):
     e = embeddings(spark, folder)
-    return hits(ivf.ivf_knn(as_queries(e), e, label_model(spark, folder), K, nprobe=3))
+    return hits(ivf.ivf_knn(as_queries(e), e, label_model(spark, folder), K, nprobe=3, lookup=False))
 
 
 # ---- graphs ---------------------------------------------------------------------------------

@@ -114,6 +114,22 @@ def graph_out(digits: int) -> str:
 CODE_GRAPH = (*CODE_TOP, ranked("p_sc", c.GRAPH.m_links, "found", skip_self=True), *linked("found"))
 
 
+def lloyd(n: str, src: str, first: str, width: int, rounds: int) -> list[str]:
+    """``{n}(b, cell, m)``: centres after rounds of k-means over ``src(vec_id, b, v)`` from the centres ``first``."""
+    step = 1 << 24
+    ctes, prev = [f"{n}0 AS MATERIALIZED ({first})"], f"{n}0"
+    for t in range(1, rounds + 1):
+        name = n if t == rounds else f"{n}{t}"
+        score = "0.5::DOUBLE * list_dot_product(c.m, c.m) - list_dot_product(s.v, c.m)"
+        ctes += [
+            f"{n}a{t} AS (SELECT s.b, c.cell, s.v FROM {src} s JOIN {prev} c USING (b) QUALIFY row_number() OVER (PARTITION BY s.b, s.vec_id ORDER BY {score}, c.cell) = 1)",
+            f"{n}s{t} AS (SELECT b, cell, i, count(*) AS k, sum(floor(x * {step}.0::DOUBLE + 0.5::DOUBLE)::BIGINT) AS x FROM (SELECT b, cell, unnest(range({width})) AS i, unnest(v) AS x FROM {n}a{t}) GROUP BY 1, 2, 3)",
+            f"{name} AS MATERIALIZED (SELECT c.b, c.cell, coalesce(l.m, c.m) AS m FROM {prev} c LEFT JOIN (SELECT b, cell, list(x::DOUBLE / {step}.0::DOUBLE / k ORDER BY i) AS m FROM {n}s{t} GROUP BY 1, 2) l USING (b, cell))",
+        ]
+        prev = name
+    return ctes
+
+
 def beams(params=c.BEAM, scores: str = "p_sc", entries: str = "SELECT min(vec_id) FROM e") -> list[str]:
     """``final(query_id, vec_id, dist, rank)``: beams after the last round."""
     turn = "row_number() OVER (PARTITION BY query_id, expanded ORDER BY dist, node)"
@@ -565,6 +581,27 @@ def build() -> dict[str, str]:
         f"exact AS (SELECT k.query_id, k.vec_id, -{DOT} AS dist FROM cand k JOIN e a ON a.vec_id = k.query_id JOIN pq b ON b.vec_id = k.vec_id)",
         ranked("exact", c.K), select=hits(),
     )
+    hashed = "('0x' || substr(md5(concat_ws(':', {0}, vec_id)), 1, 15))::BIGINT"
+    for query, cells_n, rounds in (("ivf_knn", 16, 5), ("ivf_pq_knn", 8, 3)):
+        first = f"SELECT 0 AS b, row_number() OVER (ORDER BY {hashed.format(42)}, vec_id) - 1 AS cell, v AS m FROM e QUALIFY cell < {cells_n}"
+        trained = [
+            EMB, "rows0 AS (SELECT vec_id, 0 AS b, v FROM e)", *lloyd("cells", "rows0", first, 64, rounds),
+            f"near AS MATERIALIZED (SELECT e.vec_id, c.cell, row_number() OVER (PARTITION BY e.vec_id ORDER BY {cell_of}, c.cell) AS pos FROM e, cells c)",
+            inside.replace("<= 3", "<= 4"),
+        ]
+        if query == "ivf_knn":
+            scored = [f"exact AS (SELECT k.query_id, k.vec_id, -{DOT} AS dist FROM cand k JOIN e a ON a.vec_id = k.query_id JOIN e b ON b.vec_id = k.vec_id)"]
+        else:
+            first = f"SELECT b, row_number() OVER (PARTITION BY b ORDER BY {hashed.format(43)}, vec_id) - 1 AS cell, v AS m FROM slices QUALIFY cell < 16"
+            scored = [
+                "res AS MATERIALIZED (SELECT e.vec_id, c.m, list_transform(list_zip(e.v, c.m), lambda z: (z[1] - z[2])::FLOAT)::DOUBLE[] AS r FROM e JOIN near n ON n.vec_id = e.vec_id AND n.pos = 1 JOIN cells c ON c.cell = n.cell)",
+                "slices AS MATERIALIZED (SELECT vec_id, b, r[b * 16 + 1 : b * 16 + 16] AS v FROM res, range(4) t(b))",
+                *lloyd("words", "slices", first, 16, rounds),
+                "codes AS (SELECT s.vec_id, s.b, w.m FROM slices s JOIN words w USING (b) QUALIFY row_number() OVER (PARTITION BY s.vec_id, s.b ORDER BY 0.5::DOUBLE * list_dot_product(w.m, w.m) - list_dot_product(s.v, w.m), w.cell) = 1)",
+                "pq AS MATERIALIZED (SELECT vec_id, r.m AS centre, d.d FROM (SELECT vec_id, flatten(list(m ORDER BY b)) AS d FROM codes GROUP BY 1) d JOIN res r USING (vec_id))",
+                "exact AS (SELECT k.query_id, k.vec_id, -(list_dot_product(a.v, b.centre) + list_dot_product(a.v, b.d)) AS dist FROM cand k JOIN e a ON a.vec_id = k.query_id JOIN pq b ON b.vec_id = k.vec_id)",
+            ]
+        out[query] = with_(*trained, *scored, ranked("exact", c.K), select=hits())
     out["stream_encode"] = with_(EMB, *COMP, select="SELECT vec_id, r::INTEGER AS rotation, comp::INTEGER AS component FROM p_cp")
     out["stream_search"] = out["lsh_multiprobe_join"]
     return out
