@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nearloom.operators import connect, descent, graph, knn
@@ -110,3 +111,28 @@ def test_repair_makes_a_bucket_graph_of_clusters_whole(spark, frame):
     fixed = connect.connect(edges, df)
     after = graph.connectivity(graph.reverse_edges(fixed.edges), df, graph.entry_points(df)).first().reachable_pct
     assert before < 100 and after == 100
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("blocks", [2, 1000])
+def test_nodes_that_rule_out_nothing_leave_in_small_batches(monkeypatch, blocks):
+    monkeypatch.setattr(connect, "TILE", 1000)
+    x = np.random.default_rng(4).normal(size=(300, 4)).astype(np.float32)
+    pivots = {"pivot": np.arange(50), "component": np.arange(50), "vec": x[:50].astype(float), "radius": np.full(50, 9.0), "norm": np.full(50, 99.0), "only": np.full(50, -1)}
+    rows = {"id": np.arange(300), "component": np.arange(300), "vec": list(x), "bound": np.full(300, np.inf)}
+    out = list(connect._visits("l2sq", Held(pivots), blocks)(iter([pa.RecordBatch.from_pydict(rows)])))
+    assert max(b.num_rows for b in out) <= 1000
+    places = min(50, blocks)
+    assert sum(b.num_rows for b in out) == 300 * places and sum(sum(b.column("cells").to_pylist()) for b in out) == 300 * 50
+
+
+def test_isotropic_nodes_are_answered_by_their_lists(spark, frame, unit):
+    df = frame(unit(120, 48))
+    edges = knn.knn_graph(df, 1).select("src", "dst", "dist")
+    found = connect.connect(edges, df)
+    assert connect.components(found.edges, df).select("component").distinct().count() == 1
+    assert found.rounds[0]["components"] > 2 and found.rounds[0]["ruled_out"] > 0.9
