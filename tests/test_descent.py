@@ -136,3 +136,26 @@ def test_isotropic_nodes_are_answered_by_their_lists(spark, frame, unit):
     found = connect.connect(edges, df)
     assert connect.components(found.edges, df).select("component").distinct().count() == 1
     assert found.rounds[0]["components"] > 2 and found.rounds[0]["ruled_out"] > 0.9
+
+
+def test_lists_of_a_batch_meet_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(descent, "MET", 200)
+    monkeypatch.setattr(descent, "HELD", 400)
+    monkeypatch.setattr(descent, "STEP", 30)
+    sizes, exact = [], descent._exact
+    monkeypatch.setattr(descent, "_exact", lambda m, a, b: sizes.append(len(a)) or exact(m, a, b))
+    rng = np.random.default_rng(6)
+    x, lists = rng.normal(size=(60, 4)).astype(np.float32), [sorted(rng.choice(60, 9, replace=False).tolist()) for _ in range(80)]
+    items = [[{"id": i, "new": True, "limit": float("inf"), "vec": x[i].tolist()} for i in l] for l in lists]
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("new", pa.bool_()), ("limit", pa.float64()), ("vec", pa.list_(pa.float32()))]))
+    out = list(descent._local_join("l2sq", 5)(iter([pa.RecordBatch.from_arrays([pa.array(items, kind)], ["items"])])))
+    assert max(sizes) <= 30 and len(sizes) > 1
+    y, got, want = x.astype(np.float64), {}, {}
+    for a, b, d in {r for batch in out for r in zip(*(c.to_pylist() for c in batch.columns))}:
+        got.setdefault(a, []).append((d, b))
+    for l in lists:
+        for a, b in itertools.permutations(l, 2):
+            want.setdefault(a, set()).add((float(((y[a] - y[b]) ** 2).sum()), b))
+    assert set(got) == set(want)
+    for a in want:
+        assert [b for _, b in sorted(got[a])[:5]] == [b for _, b in sorted(want[a])[:5]]
