@@ -201,3 +201,16 @@ def test_group_larger_than_a_run_is_compared_whole(spark, monkeypatch):
     rng = np.random.default_rng(8)
     x = (rng.normal(size=(1, 16)) + rng.normal(scale=0.05, size=(300, 16))).astype(np.float32)
     _equals_brute_force(spark, x, window=20)
+
+
+def test_passes_come_from_all_rows(spark):
+    """A dense group too small to show in a sample of a few rows decides the number of passes."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([_unit(rng.normal(size=(600, 16))), _unit(rng.normal(size=(1, 16)) + 0.3 * rng.normal(size=(60, 16)))])
+    classes = frame(spark, [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]).selectExpr("vec_id id", "cast(embedding as array<double>) vector")
+    x, mean = _unit(x.astype(np.float32).astype(float)), x.mean(0)
+    for windows in ((8,), (4,), (4, 64)):
+        window, passes = vector_dedup.measured_plan(classes, mean, len(x), 0.95, 1e-3, windows=windows)
+        want = vector_dedup.plan_passes(x, mean, len(x), 0.95, 1e-3, windows=windows)
+        assert window == want[0] and want[1] <= passes <= 1.05 * want[1] + 1
+        assert len(windows) > 1 or passes > vector_dedup.plan_passes(x[:500], mean, len(x), 0.95, 1e-3, windows=windows)[1]
