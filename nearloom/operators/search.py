@@ -97,6 +97,9 @@ def beam_search(
     of every beam; a query leaves the loop when its beam has no open node. A node dropped from a
     full beam can never return, because the worst kept distance only falls, so the beam itself
     serves as the visited set and the state stays at ``ef`` rows per query.
+
+    A picked node takes its query's columns and the worst distance of a full beam to the edges. Targets are scored
+    there, and only ids and distances that can enter the beam travel back.
     """
     score = registry.distance(metric, code_params)
     buckets = bucket_count(queries.sparkSession, num_queries)
@@ -115,7 +118,6 @@ def beam_search(
     first = begun.select("query_id", "node", score.alias("dist"), F.lit(False).alias("expanded"))
     state = cut_lineage(_keep_best(first.repartition(buckets, "query_id"), params))
 
-    once = Window.partitionBy("query_id", "node").orderBy("fresh")
     finished, rounds = [], 0
     while True:
         finished.append(state.filter(~F.col("open")))
@@ -126,28 +128,24 @@ def beam_search(
         rounds += 1
         if rounds > params.max_iter:
             raise RuntimeError(f"beams are not finished after max_iter={params.max_iter} rounds")
-        picks = active.filter("picked").select("query_id", F.col("node").alias("src"))
+        picks = active.filter("picked").select("query_id", F.col("node").alias("src"), "worst").join(query_side, "query_id")
         # With no more rows than a hot key has, no node can be hot.
         met = picks.join(hops, "src") if open_rows <= hot_rows else split_join(picks, hops, ["src"], hot_rows)
-        found = met.select("query_id", "node", *code_names).withColumns(
-            {"dist": F.lit(None).cast("double"), "expanded": F.lit(False), "fresh": F.lit(True)}
-        )
-        held = active.select(
-            "query_id", "node", "dist", (F.col("expanded") | F.col("picked")).alias("expanded"), F.lit(False).alias("fresh")
-        )
-        # By query: drop what the beam holds and what several picks found, then score the rest.
-        rows = found.unionByName(held, allowMissingColumns=True).repartition(buckets, "query_id")
-        new = rows.withColumn("copy", F.row_number().over(once)).filter("copy = 1")
-        scored = new.join(query_side, "query_id").select(
-            "query_id", "node", F.coalesce("dist", score).alias("dist"), "expanded"
-        )
-        state = cut_lineage(_keep_best(scored.repartition(buckets, "query_id"), params))
+        # A generated column, since the planner would score twice to filter by a plain one.
+        near = met.select("query_id", "node", "worst", F.explode(F.array(score)).alias("dist"))
+        near = near.filter(F.coalesce(F.col("dist") <= F.col("worst"), F.lit(True)))
+        found = near.select("query_id", "node", "dist", F.lit(False).alias("expanded"))
+        held = active.select("query_id", "node", "dist", (F.col("expanded") | F.col("picked")).alias("expanded"))
+        # By query: what the beam holds or several picks found counts once.
+        rows = found.unionByName(held).repartition(buckets, "query_id")
+        new = rows.groupBy("query_id", "node").agg(F.min("dist").alias("dist"), F.max("expanded").alias("expanded"))
+        state = cut_lineage(_keep_best(new, params))
     final = reduce(DataFrame.unionByName, finished)
     return knn.top_k(final.select("query_id", "node", "dist"), params.ef, "query_id", ("dist", "node"))
 
 
 def _keep_best(rows: DataFrame, params: SearchParams) -> DataFrame:
-    """The ``ef`` best nodes per query, the ``width`` nodes to expand next, and whether any is left."""
+    """The ``ef`` best nodes per query, the ``width`` nodes to expand next, whether any is left, and the worst distance of a full beam."""
     best = knn.top_k(rows, params.ef, "query_id", ("dist", "node")).drop("rank")
     turn = Window.partitionBy("query_id").orderBy("dist", "node").rowsBetween(Window.unboundedPreceding, 0)
     waiting = F.sum((~F.col("expanded")).cast("int"))
@@ -155,6 +153,7 @@ def _keep_best(rows: DataFrame, params: SearchParams) -> DataFrame:
         {
             "picked": ~F.col("expanded") & (waiting.over(turn) <= params.width),
             "open": F.max(~F.col("expanded")).over(Window.partitionBy("query_id")),
+            "worst": F.when(F.count(F.lit(1)).over(Window.partitionBy("query_id")) >= params.ef, F.max("dist").over(Window.partitionBy("query_id"))),
         }
     )
 
@@ -181,11 +180,27 @@ def ann_search(
     With ``calibration`` (one row ``alpha, beta``) and no re-ranking the code score becomes
     ``alpha * score + beta``.
     """
+    beams = ann_beams(queries, index, params, entries, query_id, vec_col)
+    return best_of_beams(beams, queries, index, params, rerank_metric, query_id, vec_col, calibration)
+
+
+def ann_beams(
+    queries: DataFrame, index: VectorIndex, params: SearchParams = SearchParams(), entries: DataFrame | None = None,
+    query_id: str = "query_id", vec_col: str = "embedding",
+) -> DataFrame:
+    """Final beams of the encoded queries. They do not depend on how the beams are re-ranked."""
     avg_norm = enc.average_norm(index.vectors) if index.metric == "estimate" else 1.0
     coded = encode_queries(queries, index.code_params, index.metric, avg_norm, query_id, vec_col)
     if entries is None:
         entries = index_entries(index, params.num_entry_points, None if params.num_entry_points == 1 else index.code_params.seed)
-    beams = beam_search(coded, index.edges, entries, index.metric, params, index.code_params, num_queries=queries.count())
+    return beam_search(coded, index.edges, entries, index.metric, params, index.code_params, num_queries=queries.count())
+
+
+def best_of_beams(
+    beams: DataFrame, queries: DataFrame, index: VectorIndex, params: SearchParams = SearchParams(), rerank_metric: str = "cosine",
+    query_id: str = "query_id", vec_col: str = "embedding", calibration: DataFrame | None = None,
+) -> DataFrame:
+    """The k best of final beams, re-ranked or calibrated as in :func:`ann_search`."""
     hits = beams.withColumnRenamed("node", "vec_id")
     if params.rerank:
         depth = hits.filter(F.col("rank") <= params.effective_rerank_k)

@@ -242,3 +242,19 @@ def test_duplicates_are_found(frame, unit, spark):
 def as_expected(found, both):
     want = brute(both, both, 2)
     return {r.query_id: r.vec_id for r in found.filter("rank = 1").collect()} == {i: w[0] for i, w in want.items()}
+
+
+def test_only_what_can_enter_a_full_beam_travels(frame, unit, monkeypatch):
+    df, ef, kept, states, farther = frame(unit(300, 16, seed=3)), 8, search._keep_best, [], []
+
+    def spy(rows, params):
+        if states:
+            full = states[-1].groupBy("query_id").agg(F.count("*").alias("n"), F.max("dist").alias("worst")).filter(F.col("n") >= ef)
+            farther.append(rows.join(full, "query_id").filter(F.col("dist") > F.col("worst")).count())
+        states.append(kept(rows, params).checkpoint())
+        return states[-1]
+
+    monkeypatch.setattr(search, "_keep_best", spy)
+    index = search.build_index(df, CodeParams(16, bits=16), GraphParams(m_links=6, max_degree=12, ef_construction=50), "cosine")
+    search.ann_beams(df.withColumnRenamed("vec_id", "query_id").filter("query_id < 20"), index, SearchParams(k=4, ef=ef, width=2, rerank_k=ef))
+    assert len(farther) > 2 and sum(farther) == 0
