@@ -7,6 +7,7 @@ from nearloom.functions.rotations import keyed_rotations
 from nearloom.operators import encode, graph, knn, metrics, search
 from nearloom.operators.skew import hot_keys, salted_join, split_join
 from nearloom.params import CodeParams, GraphParams, SearchParams
+from nearloom.plans import catalog
 from nearloom.sources import index_store
 
 EDGES = "src bigint, dst bigint, dist double"
@@ -258,3 +259,10 @@ def test_only_what_can_enter_a_full_beam_travels(frame, unit, monkeypatch):
     index = search.build_index(df, CodeParams(16, bits=16), GraphParams(m_links=6, max_degree=12, ef_construction=50), "cosine")
     search.ann_beams(df.withColumnRenamed("vec_id", "query_id").filter("query_id < 20"), index, SearchParams(k=4, ef=ef, width=2, rerank_k=ef))
     assert len(farther) > 2 and sum(farther) == 0
+
+
+def test_sweep_searches_once_for_each_beam_size(spark, monkeypatch):
+    sizes, searched = [], search.beam_search
+    monkeypatch.setattr(search, "beam_search", lambda q, e, entries, metric, params, *a, **kw: sizes.append(params.ef) or searched(q, e, entries, metric, params, *a, **kw))
+    found = catalog.graph_recall_sweep(spark, "/root/testdata/sf0.001").collect()
+    assert sizes == catalog.GRAPH_SWEEP_EF and len(found) == 2 * len(sizes)
