@@ -187,3 +187,12 @@ def test_multiprobe_scores_exactly_the_probed_buckets(frame, unit, hashes):
 def test_duplicate_codes(spark):
     df = spark.createDataFrame([(i, [1, 2] if i < 4 else [i, 0]) for i in range(8)], "vec_id bigint, components array<int>")
     assert [(r.copies, r.pairs) for r in knn.duplicate_codes(df).collect()] == [(4, 6)]
+
+
+def test_scored_candidates_keep_their_place(spark, frame, unit):
+    x = unit(12, 8)
+    # A repeated pair counts once.
+    cands = spark.createDataFrame([(0, 3, 1), (0, 5, 2), (0, 5, 2), (1, 99, 1)], "query_id long, vec_id long, place int")
+    got = knn.scored(cands, frame(x, "query_id"), frame(x), "l2sq", keep=("place",))
+    assert got.columns == ["query_id", "vec_id", "place", "dist"]
+    assert sorted((r.query_id, r.vec_id, r.place) for r in got.collect()) == [(0, 3, 1), (0, 5, 2)]
