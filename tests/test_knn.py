@@ -196,3 +196,27 @@ def test_scored_candidates_keep_their_place(spark, frame, unit):
     got = knn.scored(cands, frame(x, "query_id"), frame(x), "l2sq", keep=("place",))
     assert got.columns == ["query_id", "vec_id", "place", "dist"]
     assert sorted((r.query_id, r.vec_id, r.place) for r in got.collect()) == [(0, 3, 1), (0, 5, 2)]
+
+
+def test_running_top_k_sorts_few_rows(monkeypatch):
+    """Once k rows are held, what a chunk adds waits and is merged with that of others."""
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(40, 8)), rng.normal(size=(6400, 8))
+    score, merged, real = tiles.VectorScore("l2sq"), [], np.lexsort
+    top, features = tiles.RunningTopK(np.arange(40), 20), score._pack(q)
+    with monkeypatch.context() as m:
+        m.setattr(tiles.np, "lexsort", lambda keys, axis=-1: merged.append(len(keys)) or real(keys, axis=axis))
+        for s in range(0, 6400, 64):
+            tiles.score_chunk(top, features, score._pack(x[s : s + 64]), np.arange(s, s + 64), score, False)
+        sorts = sum(n == 3 for n in merged)
+    assert sorts < 25
+    assert {i: row.tolist() for i, row in enumerate(top.ids)} == brute(q, x, 20, "l2sq")
+
+
+def test_set_places_are_found():
+    rng = np.random.default_rng(6)
+    for shape in ((1, 1), (3, 5), (7, 8), (16, 40)):
+        for share in (0.0, 0.1, 1.0):
+            mask = rng.random(shape) < share
+            for m in (mask, np.asfortranarray(mask)):
+                assert [v.tolist() for v in tiles._where(m)] == [v.tolist() for v in np.nonzero(mask)]
