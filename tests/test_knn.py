@@ -220,3 +220,49 @@ def test_set_places_are_found():
             mask = rng.random(shape) < share
             for m in (mask, np.asfortranarray(mask)):
                 assert [v.tolist() for v in tiles._where(m)] == [v.tolist() for v in np.nonzero(mask)]
+
+
+@pytest.mark.parametrize("hashes, exclude_self", [(1, False), (2, True)])
+@pytest.mark.parametrize("grid", [None, (1, 1), (3, 4), (2, 16)])
+def test_sweep_of_probes_equals_single_runs(frame, unit, hashes, exclude_self, grid):
+    x = unit(150, 8)
+    x[::5] = x[1]
+    params, b, q = CodeParams(8, bits=4, seed=3), frame(x), frame(x, "query_id")
+    swept = lsh.multiprobe_sweep(q, b, params, 6, [4, 1, 2], hashes, exclude_self=exclude_self, grid=grid).collect()
+    for n in (1, 2, 4):
+        plain = lsh.multiprobe_knn(q, b, params, 6, n, hashes, exclude_self=exclude_self).collect()
+        key = lambda r: (r.query_id, r["rank"], r.vec_id, r.dist)
+        assert sorted(key(r) for r in swept if r.num_probes == n) == sorted(map(key, plain))
+
+
+def test_sweep_sends_a_query_once_to_a_table(spark, frame, unit, monkeypatch):
+    """Not once to each of its buckets."""
+    real = tiles.probed_topk
+    count = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        run = real(*args)
+
+        def counting(batches):
+            def seen():
+                for batch in batches:
+                    count.add(batch.num_rows)
+                    yield batch
+
+            yield from run(seen())
+
+        return counting
+
+    monkeypatch.setattr(tiles, "probed_topk", counted)
+    x = unit(100, 16)
+    lsh.multiprobe_sweep(frame(x, "query_id"), frame(x), CodeParams(16, bits=4), 5, [1, 2, 4, 8], grid=(2, 1)).collect()
+    # Four tables: queries once, base rows to both parts.
+    assert count.value == 4 * 100 + 4 * 2 * 100
+
+
+def test_sweep_grid_sends_few_copies():
+    rows = 65_536
+    for n in (1_000, 60_000, 600_000, 6_000_000, 600_000_000):
+        parts, groups = lsh._sweep_grid(n, 8, 16, 128, rows, 8)
+        assert n * min(16, groups) / groups <= parts * rows
+        assert parts + min(16, groups) <= 1 + -(-n // rows)
