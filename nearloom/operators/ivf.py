@@ -215,6 +215,10 @@ def product_codes(assigned: DataFrame, model: IvfModel) -> DataFrame:
     return assigned.select("id", "cell", "residual").mapInArrow(run, f"id bigint, cell int, code array<{kind}>")
 
 
+# Codeword combinations of the slices that are looked up at once.
+JOINT_WORDS = 256
+
+
 @dataclass(frozen=True)
 class TableScore:
     """Distances of query vectors to product codes of a cell.
@@ -254,15 +258,23 @@ class TableScore:
         width = books.shape[2]
         squares = (books**2).sum(axis=2)
         reach = np.sqrt(squares.max(axis=1).sum())
-        d = np.zeros((len(q["x"]), len(b["x"])), np.float32)
+        # A row of a table holds what all queries of the chunk add for a codeword, so that looking up copies whole rows.
+        d = np.zeros((len(b["x"]), len(q["x"])), np.float32)
+        joint, place = None, None
         for j, book in enumerate(books):
-            table = q["x"][:, j * width : (j + 1) * width] @ book.T
-            if self.metric == "l2sq":
-                own = (q["x"][:, j * width : (j + 1) * width] ** 2).sum(axis=1)
-                table = own[:, None] + squares[j] - 2.0 * table
+            part = q["x"][:, j * width : (j + 1) * width]
+            table = book @ part.T
+            table = squares[j][:, None] + (part**2).sum(axis=1) - 2.0 * table if self.metric == "l2sq" else -table
+            # Slices share a table as long as that stays small.
+            if joint is not None and len(joint) * len(table) <= JOINT_WORDS:
+                joint = (joint[:, None, :] + table[None, :, :]).reshape(-1, table.shape[1])
+                place = place * len(table) + b["x"][:, j]
             else:
-                table = -table
-            d += table.astype(np.float32)[:, b["x"][:, j]]
+                if joint is not None:
+                    d += joint.astype(np.float32)[place]
+                joint, place = table, b["x"][:, j]
+        d += joint.astype(np.float32)[place]
+        d = d.T
         magnitude = (q["norm"] + reach) ** 2 if self.metric == "l2sq" else q["norm"] * reach + np.abs(q["offset"]) + 1.0
         d += ((self.metric == "cosine") - q["offset"]).astype(np.float32)[:, None]
         return d, magnitude * (4.0 * (q["x"].shape[1] + 8) * 2.0**-24)

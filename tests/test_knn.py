@@ -266,3 +266,21 @@ def test_sweep_grid_sends_few_copies():
         parts, groups = lsh._sweep_grid(n, 8, 16, 128, rows, 8)
         assert n * min(16, groups) / groups <= parts * rows
         assert parts + min(16, groups) <= 1 + -(-n // rows)
+
+
+def test_a_key_of_many_pairs_is_split(frame, unit, monkeypatch):
+    """Few enough rows for one cell, but more pairs than a task shall take."""
+    x = unit(80, 8)
+    keyed = lambda name: frame(x, name).select(F.col(name).alias("id"), F.col("embedding").alias("vec"), (F.col(name) % 4 == 0).cast("int").alias("key"))
+    q, b, seen, real = keyed("query_id"), keyed("vec_id"), [], lsh._cells_topk
+    score = tiles.VectorScore("l2sq")
+    want = lsh.keyed_topk(q, b, ["key"], score, 5).collect()
+
+    def noted(queries, base, keys, split, *rest):
+        seen.append({r.key: (r.qn, r.bn) for r in split.collect()})
+        return real(queries, base, keys, split, *rest)
+
+    monkeypatch.setattr(lsh, "_cells_topk", noted)
+    got = lsh.keyed_topk(q, b, ["key"], score, 5, most_rows=(80, 80), cell_pairs=1000).collect()
+    assert seen == [{0: (4, 1)}]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
