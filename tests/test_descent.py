@@ -6,6 +6,7 @@ import pytest
 
 from nearloom.operators import connect, descent, graph, knn
 from nearloom.params import CodeParams, GraphParams
+from nearloom.session import cut_to_table
 
 
 def clustered(n, groups, dim=16, spread=0.05, seed=0):
@@ -159,3 +160,12 @@ def test_lists_of_a_batch_meet_a_few_at_a_time(monkeypatch):
     assert set(got) == set(want)
     for a in want:
         assert [b for _, b in sorted(got[a])[:5]] == [b for _, b in sorted(want[a])[:5]]
+
+
+def test_drawn_rows_do_not_pass_through_the_driver(frame, unit):
+    """Sixteen rows for every node are drawn, which the planner takes to be as few as the nodes."""
+    nodes = cut_to_table(frame(unit(300, 8)).selectExpr("vec_id id", "embedding vec"))
+    drawn = descent._first_lists(nodes, 16, "cosine", 42, 300)
+    plan = drawn._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [place" in plan and "HashJoin [place" not in plan
+    assert drawn.count() == 300 * 16
