@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from nearloom.functions import registry
 from nearloom.operators import encode as enc
 from nearloom.operators import graph, knn
-from nearloom.operators.skew import HOT_ROWS, split_join
+from nearloom.operators.skew import HOT_ROWS, hot_keys, split_join
 from nearloom.params import CodeParams, GraphParams, SearchParams
-from nearloom.session import bucket_count, cut_lineage, write_bucketed
+from nearloom.session import bucket_count, cut_lineage, cut_to_table, write_bucketed
 
 # Entries carried to a query in one row.
 ENTRY_ROWS = 1000
@@ -100,6 +100,9 @@ def beam_search(
 
     A picked node takes its query's columns and the worst distance of a full beam to the edges. Targets are scored
     there, and only ids and distances that can enter the beam travel back.
+
+    Beams are written as tables: a checkpoint hands on the planner's estimate of its size, a product over the joins of a
+    round, whose digits would double with every round and fill the driver.
     """
     score = registry.distance(metric, code_params)
     buckets = bucket_count(queries.sparkSession, num_queries)
@@ -116,7 +119,7 @@ def beam_search(
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
     begun = query_side.withColumn("part", every).join(arrays, "part").withColumn("s", F.explode("s")).select(*query_side.columns, "s.*")
     first = begun.select("query_id", "node", score.alias("dist"), F.lit(False).alias("expanded"))
-    state = cut_lineage(_keep_best(first.repartition(buckets, "query_id"), params))
+    state = cut_to_table(_keep_best(first.repartition(buckets, "query_id"), params))
 
     finished, rounds = [], 0
     while True:
@@ -128,9 +131,11 @@ def beam_search(
         rounds += 1
         if rounds > params.max_iter:
             raise RuntimeError(f"beams are not finished after max_iter={params.max_iter} rounds")
-        picks = active.filter("picked").select("query_id", F.col("node").alias("src"), "worst").join(query_side, "query_id")
-        # With no more rows than a hot key has, no node can be hot.
-        met = picks.join(hops, "src") if open_rows <= hot_rows else split_join(picks, hops, ["src"], hot_rows)
+        picked = active.filter("picked").select("query_id", F.col("node").alias("src"), "worst")
+        picks = picked.join(query_side, "query_id")
+        # With no more rows than a hot key has, no node can be hot; else most rounds still have none.
+        hot = cut_to_table(hot_keys(picked, ["src"], hot_rows)) if open_rows > hot_rows else None
+        met = picks.join(hops, "src") if hot is None or hot.isEmpty() else split_join(picks, hops, ["src"], hot_rows, hot)
         # A generated column, since the planner would score twice to filter by a plain one.
         near = met.select("query_id", "node", "worst", F.explode(F.array(score)).alias("dist"))
         near = near.filter(F.coalesce(F.col("dist") <= F.col("worst"), F.lit(True)))
@@ -139,7 +144,7 @@ def beam_search(
         # By query: what the beam holds or several picks found counts once.
         rows = found.unionByName(held).repartition(buckets, "query_id")
         new = rows.groupBy("query_id", "node").agg(F.min("dist").alias("dist"), F.max("expanded").alias("expanded"))
-        state = cut_lineage(_keep_best(new, params))
+        state = cut_to_table(_keep_best(new, params))
     final = reduce(DataFrame.unionByName, finished)
     return knn.top_k(final.select("query_id", "node", "dist"), params.ef, "query_id", ("dist", "node"))
 

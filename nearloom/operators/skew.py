@@ -55,15 +55,15 @@ def salted_join(
 
 
 def split_join(
-    left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, hot: DataFrame | None = None
 ) -> DataFrame:
     """Inner equi-join that leaves ``right`` where it lies.
 
     For a ``right`` that is bucketed by the keys and holds a bounded number of rows per key. Hot
     keys of ``left`` meet copies of their few right rows in pieces; all other rows are shuffled
-    to the buckets. The result equals the plain join.
+    to the buckets. The result equals the plain join. ``hot`` is ``keys, pieces`` where it is known.
     """
-    hot = hot_keys(left, keys, hot_rows)
+    hot = hot_keys(left, keys, hot_rows) if hot is None else hot
     cold = left.join(hot, keys, "left_anti").join(right, keys)
     hot_left, hot_right = (side.join(hot, keys, "left_semi") for side in (left, right))
     return cold.unionByName(salted_join(hot_left, hot_right, keys, left.columns, hot))

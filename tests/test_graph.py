@@ -266,3 +266,14 @@ def test_sweep_searches_once_for_each_beam_size(spark, monkeypatch):
     monkeypatch.setattr(search, "beam_search", lambda q, e, entries, metric, params, *a, **kw: sizes.append(params.ef) or searched(q, e, entries, metric, params, *a, **kw))
     found = catalog.graph_recall_sweep(spark, "/root/testdata/sf0.001").collect()
     assert sizes == catalog.GRAPH_SWEEP_EF and len(found) == 2 * len(sizes)
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    """A walk along a chain, one node a round: the planner's number of bytes stays a number of few digits."""
+    rows = [(i, [float(np.cos(0.1 * i)), float(np.sin(0.1 * i))]) for i in range(9)]
+    nodes = spark.createDataFrame(rows, "node bigint, embedding array<float>")
+    edges = spark.createDataFrame([(i, i + 1, rows[i + 1][1]) for i in range(8)], "src bigint, dst bigint, dst_embedding array<float>")
+    queries = nodes.filter("node >= 6").withColumnRenamed("node", "query_id")
+    found = search.beam_search(queries, edges, nodes.filter("node = 0"), "cosine", SearchParams(k=3, ef=3, rerank=False), hot_rows=1)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 256
+    assert {r.query_id: r.node for r in found.collect() if r["rank"] == 1} == {6: 6, 7: 7, 8: 8}
