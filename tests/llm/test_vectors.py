@@ -214,3 +214,16 @@ def test_passes_come_from_all_rows(spark):
         want = vector_dedup.plan_passes(x, mean, len(x), 0.95, 1e-3, windows=windows)
         assert window == want[0] and want[1] <= passes <= 1.05 * want[1] + 1
         assert len(windows) > 1 or passes > vector_dedup.plan_passes(x[:500], mean, len(x), 0.95, 1e-3, windows=windows)[1]
+
+
+def test_links_that_no_pass_meets_are_found(spark):
+    """One pass of narrow windows meets few of the pairs; the comparison that follows finds all of them."""
+    x = _hard_rows("isotropic", 3000, seed=2).astype(np.float32)
+    _equals_brute_force(spark, x, window=8, miss=0.9)
+
+
+def test_blocks_that_are_left_out_hold_no_link():
+    x = np.concatenate([clustered(900, 8, seed=4), clustered(700, 8, seed=6)]).astype(np.float64)
+    x = x[np.argsort(x[:, 0])]
+    found = {(int(i), int(j) + 500) for a, b in vector_dedup._all_links(x[:800], np.arange(800), x[500:], np.arange(500, len(x)), 0.95) for i, j in zip(a, b)}
+    assert found == {(i, j) for i, j in zip(*np.nonzero(links(x, 0.95))) if i < 800 and j >= 500 and i < j}
